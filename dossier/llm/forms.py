@@ -62,7 +62,7 @@ def _batches(names: list[str], keep_text: bool, form: str):
         for batch in batches:
             if batch.num_rows:
                 con.register("batch", pa.Table.from_batches([batch]))
-                got = con.execute(f"SELECT {out} FROM (SELECT *, {form} AS form FROM batch) {where}").to_arrow_table()
+                got = con.sql(f"SELECT {out} FROM (SELECT *, {form} AS form FROM batch) {where}").to_arrow_table()
                 con.unregister("batch")
                 yield from got.to_batches()
 
