@@ -6,15 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import forms, tokens
+from dossier.llm import containers, forms, pieces, terms, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": pieces.p3_found,
+    "p3_pieces": pieces.p3_pieces,
     "p4_found": forms.p4_found,
     "p4_forms": forms.p4_forms,
+    "p6_found": terms.p6_found,
+    "p6_terms": terms.p6_terms,
     "p7_ids": tokens.p7_ids,
     "p7_round_trip": tokens.p7_round_trip,
+    "p8_assignment": containers.p8_assignment,
+    "p8_fill": containers.p8_fill,
 }
 
 ORACLES: dict[str, str] = {
+    "p3_found": """
+        SELECT 'legal_document' AS table_name, id AS item_id FROM legal_document WHERE length(full_text) > 8000 AND id IS NOT NULL
+        UNION SELECT 'document_chunk', id FROM document_chunk WHERE length(text) > 1800 AND id IS NOT NULL""",
     "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
 }
