@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from dossier.operators import orphans
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": orphans.p5_found,
+    "p5_periods": orphans.p5_periods,
+}
 ORACLES: dict[str, str] = {}
