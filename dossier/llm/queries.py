@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import containers, forms, neardup, pieces, terms, tokens
+from dossier.llm import containers, forms, neardup, pieces, subjects, terms, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": neardup.p1_found,
@@ -21,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_round_trip": tokens.p7_round_trip,
     "p8_assignment": containers.p8_assignment,
     "p8_fill": containers.p8_fill,
+    "p9_found": subjects.p9_found,
+    "p9_mix": subjects.p9_mix,
 }
 
 ORACLES: dict[str, str] = {
