@@ -21,6 +21,7 @@ repeated rows of an id count once, with the earliest row; null ids are left out.
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from math import ceil, exp, log
@@ -56,6 +57,16 @@ def _word_table() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() for c in range(0x10000)), dtype=bool, count=0x10000)
 
 
+@lru_cache(maxsize=1)
+def _plain_table() -> np.ndarray:
+    """For each BMP code point its letter without accents."""
+    table = np.arange(0x10000, dtype=np.uint32)
+    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+        table[code] = ord(unicodedata.normalize("NFD", chr(code))[0])
+    table[ord("đ")] = ord("d")
+    return table
+
+
 @lru_cache(maxsize=1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse, modulo 2**64."""
@@ -66,8 +77,8 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
-def shingle_sets(texts: list[str | None], shingle: int = SHINGLE, least: int = LEAST_WORDS) -> list[np.ndarray | None]:
-    """Sorted distinct 64-bit hashes of the runs of ``shingle`` words of each text; None for short texts."""
+def shingle_sets(texts: list[str | None], shingle: int = SHINGLE, least: int = LEAST_WORDS, folded: bool = False) -> list[np.ndarray | None]:
+    """Sorted distinct 64-bit hashes of the runs of ``shingle`` words of each text, None for short texts; ``folded``: without accents."""
     forms = [(consistent_form(t) or "").lower() if t else "" for t in texts]
     joined = "\n".join(forms)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -76,6 +87,8 @@ def shingle_sets(texts: list[str | None], shingle: int = SHINGLE, least: int = L
     inside = _word_table()[small]
     for k in np.flatnonzero(codes > 0xFFFF):
         inside[k] = chr(codes[k]).isalnum()
+    if folded:
+        codes = np.where(codes > 0xFFFF, codes, _plain_table()[small])
     edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers(1 << max(20, int(len(codes)).bit_length()))

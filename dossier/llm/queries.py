@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import containers, forms, neardup, pieces, subjects, terms, tokens
+from dossier.llm import containers, entities, forms, neardup, pieces, subjects, terms, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": neardup.p1_found,
     "p1_groups": neardup.p1_groups,
+    "p2_found": entities.p2_found,
+    "p2_matches": entities.p2_matches,
     "p3_found": pieces.p3_found,
     "p3_pieces": pieces.p3_pieces,
     "p4_found": forms.p4_found,
