@@ -41,6 +41,8 @@ COORDINATES, BRANCH, TARGET_RECALL = 128, 0.75, 0.999
 UNRELATED, FIRST_ROWS = 0.08, 24
 #: Rows that one node may have to be compared in full, and the deepest split.
 NODE_ROWS, DEEPEST = 2_000, 12
+#: Bytes of each hash that the exact check compares.
+KEPT_BYTES = 5
 #: Bytes of the short signature, and how many must agree for a pair to be checked.
 SHORT, SHORT_EQUAL = 24, 8
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -113,16 +115,18 @@ def shingle_sets(texts: list[str | None], shingle: int = SHINGLE, least: int = L
 @lru_cache(maxsize=1)
 def _seeds() -> tuple[np.ndarray, np.ndarray]:
     numbers = _mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return numbers[:COORDINATES, None], numbers[COORDINATES:, None] | np.uint64(1)
+    numbers = (numbers >> np.uint64(32)).astype(np.uint32)
+    return numbers[:COORDINATES, None], numbers[COORDINATES:, None] | np.uint32(1)
 
 
 def minhashes(members: np.ndarray) -> np.ndarray:
-    """COORDINATES minwise hashes (32 bits) of a set of 64-bit hashes."""
+    """COORDINATES minwise hashes (16 bits) of a set of 64-bit hashes."""
     add, times = _seeds()
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for k in range(0, len(members), 4096):
-        least = np.minimum(least, ((members[None, k : k + 4096] ^ add) * times).min(axis=1))
-    return (least >> np.uint64(32)).astype(np.uint32)
+    short = (members >> np.uint64(32)).astype(np.uint32)
+    least = np.full(COORDINATES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for k in range(0, len(short), 4096):
+        least = np.minimum(least, ((short[None, k : k + 4096] ^ add) * times).min(axis=1))
+    return (least ^ (least >> np.uint32(16))).astype(np.uint16)
 
 
 def _class_of(members: np.ndarray) -> int:
@@ -146,12 +150,12 @@ def _embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(sketches: pa.Array) -> np.ndarray:
-    flat = np.frombuffer(b"".join(sketches.to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+    flat = np.frombuffer(b"".join(sketches.to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
     return _mix(flat.astype(np.uint64) + (np.arange(COORDINATES, dtype=np.uint64)[None, :] << np.uint64(32)))
 
 
 def _shorts(sketches: pa.Array) -> pa.Array:
-    return pa.array([s[: 4 * SHORT : 4] for s in sketches.to_pylist()], pa.binary())
+    return pa.array([s[: 2 * SHORT : 2] for s in sketches.to_pylist()], pa.binary())
 
 
 def _follow(tokens: np.ndarray, rows: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -293,14 +297,30 @@ def candidate_pairs(sketches: DataFrame, similarity: float = SIMILARITY, recall:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, runs): the sorted set of each class's text, KEPT_BYTES of each hash."""
     for whole in batches:
         for start in range(0, whole.num_rows, 256):
             batch = whole.slice(start, 256)
             sets = shingle_sets(batch.column(1).to_pylist())
             rows = [(c, s) for c, s in zip(batch.column(0).to_pylist(), sets) if s is not None and _class_of(s) == c]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in rows], pa.int64()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["class", "runs"]
-            )
+            packed = [s.view(np.uint8).reshape(-1, 8)[:, 8 - KEPT_BYTES :].tobytes() for _, s in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array(packed, pa.binary())], names=["class", "runs"])
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // KEPT_BYTES, 8), dtype=np.uint8)
+    out[:, :KEPT_BYTES] = np.frombuffer(packed, dtype=np.uint8).reshape(-1, KEPT_BYTES)
+    return out.view(np.uint64).ravel()
+
+
+def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scores = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            a, b = _unpack(a), _unpack(b)
+            shared = len(np.intersect1d(a, b, assume_unique=True))
+            scores.append(shared / (len(a) + len(b) - shared))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["class_a", "class_b", "similarity"])
 
 
 def members_of(documents: DataFrame) -> DataFrame:
@@ -319,14 +339,13 @@ def similar_classes(documents: DataFrame, members: DataFrame, similarity: float
     wanted = pairs.select(F.col("class_a").alias("class")).unionByName(pairs.select(F.col("class_b").alias("class"))).distinct()
     wanted = cut(wanted.join(classes.select("class", "id"), "class"))
     texts = join_checked(documents.select("id", "full_text"), wanted, "id", "inner", wanted.count())
-    sets = texts.select("class", "full_text").mapInArrow(_sets, "class bigint, runs array<bigint>")
-    sets = cut(sets.groupBy("class").agg(F.first("runs").alias("runs")))
+    # Both sides read one exchange of the sets.
+    sets = texts.select("class", "full_text").mapInArrow(_sets, "class bigint, runs binary")
     left = sets.select(F.col("class").alias("class_a"), F.col("runs").alias("runs_a"))
     right = sets.select(F.col("class").alias("class_b"), F.col("runs").alias("runs_b"))
-    both = pairs.join(left, "class_a").join(right, "class_b")
-    shared = F.size(F.array_intersect("runs_a", "runs_b"))
-    jaccard = shared / (F.size("runs_a") + F.size("runs_b") - shared)
-    return both.select("class_a", "class_b", jaccard.alias("similarity")).where(F.col("similarity") >= similarity)
+    both = pairs.join(left, "class_a").join(right, "class_b").select("class_a", "class_b", "runs_a", "runs_b")
+    scored = both.mapInArrow(_jaccard, "class_a bigint, class_b bigint, similarity double")
+    return scored.where(F.col("similarity") >= similarity).distinct()
 
 
 def near_pairs(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
