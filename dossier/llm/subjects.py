@@ -45,6 +45,8 @@ LEAST_CONFIDENCE, LONGER_CONFIDENCE, LONGER_GAIN, PATTERN = 0.7, 0.9, 0.1, 2
 LEAST_LIFT = 3.0
 #: Weight of the prior in a rule's calibrated confidence, in sentences.
 PRIOR = 2.0
+#: Most confidence that a rule may have.
+MOST_SURE = 0.99
 GROUPS = 24
 #: Log odds that a sentence needs to count for a subject.
 EVIDENCE = 1.0
@@ -77,8 +79,8 @@ def sentences(text: str | None) -> list[list[str]]:
 
 
 def items_of(words: list[str]) -> set[str]:
-    folded = [fold(w) for w in words if not w.isdigit()]
-    return {*folded, *(f"{a} {b}" for a, b in zip(folded, folded[1:]))}
+    folded = [fold(w) for w in words]
+    return {*(w for w in folded if not w.isdigit()), *(f"{a} {b}" for a, b in zip(folded, folded[1:]) if not (a.isdigit() or b.isdigit()))}
 
 
 def clean_labels(labels: DataFrame, subjects: DataFrame, limit: int = LABELLED_DOCUMENTS) -> DataFrame:
@@ -157,9 +159,10 @@ def _grow_base(pattern: list[str], base: list, least: int, size: int):
     if len(pattern) >= size or total < LONGER * least:
         return
     conditional: dict[str, list] = defaultdict(list)
+    deeper = len(pattern) + 1 < size
     for path, n, subjects in base:
         for k, item in enumerate(path):
-            conditional[item].append((path[:k], n, subjects))
+            conditional[item].append((path[:k] if deeper else [], n, subjects))
     for item, inner in conditional.items():
         yield from _grow_base([*pattern, item], inner, least, size)
 
@@ -175,8 +178,14 @@ def mine_rules(sentences_: DataFrame, least_documents: int = LEAST_DOCUMENTS, su
     by_subject = exploded.select("item", F.explode("subjects").alias("subject", "share")).groupBy("item", "subject").agg(F.sum("share").alias("weight"))
     lifted = by_subject.join(frequent, "item").join(base, "subject").crossJoin(every)
     lift = (F.col("weight") / F.col("total")) / (F.col("of_all") / F.col("sentences"))
-    informative = cut(lifted.where(lift >= LEAST_LIFT).select("item", "total").distinct())
-    order = {r["item"]: (-r["total"], r["item"]) for r in informative.collect()}  # bounded: items of a bounded sample
+    lifted = cut(lifted.where(lift >= LEAST_LIFT).select("item", "total", "subject", "weight"))
+    calibrated = F.least((F.col("weight") + PRIOR / 12) / (F.col("total") + PRIOR), F.lit(MOST_SURE))
+    best = lifted.groupBy("item").agg(F.max(calibrated).alias("sure"), F.first("total").alias("total"))
+    # No longer pattern can add LONGER_GAIN to an item that is sure by itself: it stays out of the trees.
+    unsure = best.where(F.col("sure") < MOST_SURE - LONGER_GAIN)
+    order = {r["item"]: (-r["total"], r["item"]) for r in unsure.collect()}  # bounded: items of a bounded sample
+    single = lifted.where(calibrated >= LEAST_CONFIDENCE - LONGER_GAIN)
+    single = single.select(F.array("item").alias("items"), F.col("total").cast("double").alias("total"), "subject", "weight")
     out = "items array<string>, total double, subject string, weight double"
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,12 +208,12 @@ def mine_rules(sentences_: DataFrame, least_documents: int = LEAST_DOCUMENTS, su
             for item in [i for i in tree.where if _group(i) == group]
             for pattern, total, weights in tree.grow(item, least, size)
             for subject, weight in weights.items()
-            if _calibrated(weight, total) >= LEAST_CONFIDENCE - LONGER_GAIN
+            if len(pattern) > 1 and _calibrated(weight, total) >= LONGER_CONFIDENCE
         ]
         return pd.DataFrame(rows, columns=["items", "total", "subject", "weight"])
 
     dealt = sentences_.select("items", "subjects").mapInPandas(deal, "grp int, items array<string>, subjects map<string,double>")
-    return dealt.groupBy("grp").applyInPandas(grow, out)
+    return single.unionByName(dealt.groupBy("grp").applyInPandas(grow, out))
 
 
 def _group(item: str) -> int:
@@ -213,7 +222,7 @@ def _group(item: str) -> int:
 
 def _calibrated(weight: float, total: float) -> float:
     """Confidence drawn towards an even chance of the subjects by PRIOR sentences."""
-    return min((weight + PRIOR / 12) / (total + PRIOR), 0.99)
+    return min((weight + PRIOR / 12) / (total + PRIOR), MOST_SURE)
 
 
 def kept_rules(mined: list) -> dict[tuple[str, ...], tuple[str, float]]:
@@ -236,40 +245,50 @@ def kept_rules(mined: list) -> dict[tuple[str, ...], tuple[str, float]]:
     return out
 
 
+class _Evidence(dict):
+    """(word before, word) -> its rules' (subject, log odds) and its items of longer rules; None without any."""
+
+    def __init__(self, single: dict, paired: set):
+        super().__init__()
+        self.single, self.paired, self.folded = single, paired, {}
+
+    def __missing__(self, key: tuple[str, str]):
+        if len(self) > 500_000:
+            self.clear()
+            self.folded.clear()
+        codes = []
+        for word in key:
+            if word not in self.folded:
+                self.folded[word] = "" if word.isdigit() else fold(word)
+            codes.append(self.folded[word])
+        before, code = codes
+        items = [] if not code else [code, f"{before} {code}"] if before else [code]
+        hits = [self.single[i] for i in items if i in self.single]
+        marks = [i for i in items if i in self.paired]
+        found = self[key] = (hits, marks) if hits or marks else None
+        return found
+
+
 class Scorer:
     """Subjects of a text by the evidence of its sentences' matching rules."""
 
     def __init__(self, rules: dict[tuple[str, ...], tuple[str, float]]):
-        self.single = {p[0]: (s, log(c / (1 - c))) for p, (s, c) in rules.items() if len(p) == 1}
-        self.pairs = {p: (s, log(c / (1 - c))) for p, (s, c) in rules.items() if len(p) == 2}
-        self.used = {w for p in rules for item in p for w in item.split()}
-        self.paired = {i for p in self.pairs for i in p}
-        self.known: dict[str, str] = {}
+        single = {p[0]: (s, log(c / (1 - c))) for p, (s, c) in rules.items() if len(p) == 1}
+        self.longer = {p: (s, log(c / (1 - c))) for p, (s, c) in rules.items() if len(p) == 2}
+        self.evidence = _Evidence(single, {i for p in self.longer for i in p})
 
     def sentence(self, words: list[str]) -> str | None:
         evidence: dict[str, float] = {}
-        before, marked = "", []
-        for word in words:
-            code = self.known.get(word)
-            if code is None:
-                if len(self.known) > 300_000:
-                    self.known.clear()
-                code = fold(word)
-                code = self.known[word] = code if code in self.used else ""
-            if code:
-                for item in (code, f"{before} {code}") if before else (code,):
-                    hit = self.single.get(item)
-                    if hit:
-                        evidence[hit[0]] = evidence.get(hit[0], 0.0) + hit[1]
-                    if item in self.paired:
-                        marked.append(item)
-            if not word.isdigit():
-                before = code
+        marked: list[str] = []
+        for found in filter(None, map(self.evidence.__getitem__, zip(["", *words], words))):
+            for subject, odds in found[0]:
+                evidence[subject] = evidence.get(subject, 0.0) + odds
+            marked += found[1]
         if len(marked) > 1:
             distinct = sorted(set(marked))
             for k, a in enumerate(distinct):
                 for b in distinct[k + 1 :]:
-                    hit = self.pairs.get((a, b))
+                    hit = self.longer.get((a, b))
                     if hit:
                         evidence[hit[0]] = evidence.get(hit[0], 0.0) + hit[1]
         if not evidence:
