@@ -83,6 +83,7 @@ def unsafe_table() -> np.ndarray:
     table = np.zeros(0x10000, dtype=bool)
     table[0xD800:0xE000] = True
     table[0x1100:0x1200] = True
+    table[0xFFFF] = True  # stands for all code points beyond
     for code in range(0x80, 0x10000):
         if 0xD800 <= code <= 0xDFFF:
             continue
@@ -126,12 +127,18 @@ def _tools():
     return single, has_mixed, word, unsafe, word_form
 
 
+def is_plain(text: str) -> bool:
+    """Whether no character of ``text`` can need work; a fast test by table."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return not unsafe_table()[np.minimum(codes, 0xFFFF)].any()
+
+
 def consistent_form(text: str | None) -> str | None:
     """The consistent form of one text; null stays null, an empty text empty."""
     if not text:
         return text
     single, has_mixed, word, unsafe, word_form = _tools()
-    if not unsafe.search(text):
+    if is_plain(text) if len(text) > 100 else not unsafe.search(text):
         return text
     text = text.translate(single)
     if has_mixed.search(text):
