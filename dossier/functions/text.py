@@ -171,9 +171,11 @@ def words(c) -> Column:
 
 def ngrams(c, n: int) -> Column:
     """The runs of ``n`` words of one field."""
-    w = words(c)
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda k: F.array_join(F.slice(w, k, n), " "))
-    return F.when(F.size(w) >= n, runs).otherwise(F.array().cast("array<string>"))
+    def runs(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda k: F.array_join(F.slice(w, k, n), " "))
+        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    return let(words(c), runs)
 
 
 def token_set(c) -> Column:
@@ -197,5 +199,10 @@ def nearest_rank(values, share: float) -> Column:
     return F.percentile_disc(share).within_group(_c(values)) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {values})")
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once; a plain lambda body would compute it for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c

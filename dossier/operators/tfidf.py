@@ -10,23 +10,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dossier.functions.text import let
+
 
 def word_grams(c: str, low: int = 1, high: int = 4) -> Column:
     """Runs of ``low`` to ``high`` blank-separated tokens, lower-cased."""
-    tokens = F.regexp_extract_all(F.lower(c), F.lit(r"\S+"), F.lit(0))
-    def runs(n: int) -> Column:
+    def runs(tokens: Column, n: int) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda k: F.array_join(F.slice(tokens, k, n), " "))
         return F.when(F.size(tokens) >= n, made).otherwise(F.array().cast("array<string>"))
-    return F.concat(*(runs(n) for n in range(low, high + 1)))
+
+    tokens = F.regexp_extract_all(F.lower(c), F.lit(r"\S+"), F.lit(0))
+    return let(tokens, lambda t: F.concat(*(runs(t, n) for n in range(low, high + 1))))
 
 
 def char_grams(c: str, low: int = 3, high: int = 5) -> Column:
     """Runs of ``low`` to ``high`` characters, lower-cased."""
-    value = F.lower(c)
-    def runs(n: int) -> Column:
+    def runs(value: Column, n: int) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.length(value) - n + 1), lambda k: F.substring(value, k, F.lit(n)))
         return F.when(F.length(value) >= n, made).otherwise(F.array().cast("array<string>"))
-    return F.concat(*(runs(n) for n in range(low, high + 1)))
+
+    return let(F.lower(c), lambda v: F.concat(*(runs(v, n) for n in range(low, high + 1))))
 
 
 def fit(texts: DataFrame, grams: Column, min_df: int = 2, max_df: float = 0.8, features: int | None = 50_000) -> DataFrame:

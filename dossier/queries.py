@@ -297,7 +297,7 @@ def q_siblings(spark, sf_dir):
     return graph.siblings(provisions, provisions.select(F.col("id").alias("article_id")), 2)
 
 
-@query("""SELECT c_custkey, least(1.0, round(sum(0.2 * greatest(1, p)), 6)) AS score, count(*) AS n FROM
+@query("""SELECT c_custkey, least(1.0, round(sum(0.2 * greatest(1, p)), 6))::DOUBLE AS score, count(*) AS n FROM
     (SELECT c_custkey, o_orderpriority, count(*) AS p FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 200000 GROUP BY ALL) GROUP BY c_custkey""")
 def q_saturating_score(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where("o_totalprice > 200000").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -337,9 +337,9 @@ def q_interleave(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT DISTINCT id, document_id, chunk_index, section FROM document_chunk WHERE document_id IS NOT NULL AND id IS NOT NULL),
-    k AS (SELECT *, coalesce(starts_with(section, 'Điều'), false) AS art, max(coalesce(starts_with(section, 'Điều'), false)) OVER (PARTITION BY document_id) AS some FROM c),
-    p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, id) - 1 AS i, count(*) OVER (PARTITION BY document_id) AS m FROM k WHERE art OR NOT some)
-    SELECT document_id, id FROM p WHERE i IN (0, (m - 1) // 2) OR (least(3, m) > 2 AND i = m - 1) AND i NOT IN (0, (m - 1) // 2) OR (m = 2 AND i IN (0)) """)
+    k AS (SELECT *, coalesce(starts_with(section, 'Điều'), false) AS art, max(coalesce(starts_with(section, 'Điều'), false)) OVER (PARTITION BY document_id) AS has FROM c),
+    p AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY chunk_index, id) - 1 AS i, count(*) OVER (PARTITION BY document_id) AS m FROM k WHERE art OR NOT has)
+    SELECT document_id, id FROM p WHERE i IN (0, (m - 1) // 2) OR (m > 2 AND i = m - 1)""")
 def q_representatives(spark, sf_dir):
     chunks = table(spark, sf_dir, "document_chunk").where("document_id IS NOT NULL AND id IS NOT NULL").select("id", "document_id", "chunk_index", F.coalesce("section", F.lit("")).alias("section")).distinct()
     return candidates.representatives(chunks, 3).select("document_id", "id")
