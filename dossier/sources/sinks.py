@@ -31,11 +31,11 @@ class Store:
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
     def exists(self, name: str) -> bool:
-        fs, path = self._file(f"{self.folder}/{name}/_current")
+        fs, path = self._file(f"{self.folder}/{name}/CURRENT")
         return fs.exists(path)
 
     def read(self, name: str) -> DataFrame:
-        version = self.spark.read.text(f"{self.folder}/{name}/_current").first()[0]
+        version = self.spark.read.text(f"{self.folder}/{name}/CURRENT").first()[0]
         return self.spark.read.parquet(f"{self.folder}/{name}/{version}")
 
     def write(self, name: str, df: DataFrame, recreate: bool = True, partition_by: list[str] | None = None) -> None:
@@ -44,7 +44,7 @@ class Store:
             raise FileExistsError(f"table {name} exists")
         version = uuid.uuid4().hex
         df.write.partitionBy(*(partition_by or [])).parquet(f"{self.folder}/{name}/{version}")
-        fs, path = self._file(f"{self.folder}/{name}/_current")
+        fs, path = self._file(f"{self.folder}/{name}/CURRENT")
         fs.mkdirs(path.getParent())
         out = fs.create(path, True)
         out.write(bytearray(version, "ascii"))
