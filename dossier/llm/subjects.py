@@ -41,7 +41,7 @@ LABELLED_DOCUMENTS = 20_000
 LEAST_DOCUMENTS, LEAST_SUPPORT, LONGER = 3, 0.0004, 3
 #: Least confidence of a rule of one item and of a longer one, what a longer one must add, and the most items.
 LEAST_CONFIDENCE, LONGER_CONFIDENCE, LONGER_GAIN, PATTERN = 0.7, 0.9, 0.1, 2
-#: An item is mined if a subject is this many times as frequent with it as without regard to it.
+#: An item is mined if it names a subject, or a subject is this many times as frequent with it as without regard to it.
 LEAST_LIFT = 3.0
 #: Weight of the prior in a rule's calibrated confidence, in sentences.
 PRIOR = 2.0
@@ -178,7 +178,8 @@ def mine_rules(sentences_: DataFrame, least_documents: int = LEAST_DOCUMENTS, su
     by_subject = exploded.select("item", F.explode("subjects").alias("subject", "share")).groupBy("item", "subject").agg(F.sum("share").alias("weight"))
     lifted = by_subject.join(frequent, "item").join(base, "subject").crossJoin(every)
     lift = (F.col("weight") / F.col("total")) / (F.col("of_all") / F.col("sentences"))
-    lifted = cut(lifted.where(lift >= LEAST_LIFT).select("item", "total", "subject", "weight"))
+    named = F.col("weight") / F.col("total") >= LEAST_CONFIDENCE - LONGER_GAIN
+    lifted = cut(lifted.where((lift >= LEAST_LIFT) | named).select("item", "total", "subject", "weight"))
     calibrated = F.least((F.col("weight") + PRIOR / 12) / (F.col("total") + PRIOR), F.lit(MOST_SURE))
     best = lifted.groupBy("item").agg(F.max(calibrated).alias("sure"), F.first("total").alias("total"))
     # No longer pattern can add LONGER_GAIN to an item that is sure by itself: it stays out of the trees.
