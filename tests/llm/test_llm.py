@@ -304,9 +304,9 @@ def test_subjects_held_out(spark):
     docs, truth = [], {}
     for k in range(240):
         wanted = rng.choice([["land"], ["law"], ["land", "law"], ["none"]])
-        text = " ".join([sentence(rng.choice(wanted)) for _ in range(8)] + [sentence(s) for s in wanted for _ in range(2)] + ([sentence("law")] if wanted == ["land"] else []))
-        docs.append((k, unicodedata.normalize("NFC", text), "clash"))
-        truth[k] = set(wanted) - {"none"}
+        of = [rng.choice(wanted) for _ in range(8)] + wanted * 2 + (["law"] if wanted == ["land"] else [])
+        docs.append((k, unicodedata.normalize("NFC", " ".join(map(sentence, of))), "clash"))
+        truth[k] = {s for s in wanted if of.count(s) >= 0.2 * len(of)} - {"none"}
     docs += [(900, None, ""), (901, "", ""), (902, " \n", "")]
     labels = [(k, s.upper() + " ", "an1") for k in range(120) for s in (truth[k] or {"none"})] + [(1, "wrong?", "an2"), (2, None, None), (None, "law", "an1")]
     documents_ = spark.createDataFrame(docs, "doc_id bigint, text string, subject string")
