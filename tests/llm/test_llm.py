@@ -297,24 +297,24 @@ def test_tree_counts_equal_brute_force():
 
 def test_subjects_held_out(spark):
     rng = random.Random(6)
-    own = {s: [f"{s}{chr(97 + k)}" for k in range(12)] for s in ("land", "law", "none")}
+    own = {s: [f"{s}{chr(97 + k)}" for k in range(12)] for s in ("land", "law", "health", "sport", "science", "labour", "none")}
     filler = [f"từ{chr(97 + k)}" for k in range(20)]
     def sentence(s):
         return " ".join(rng.sample(own[s], 3) + rng.sample(filler, 5)).capitalize() + "."
     docs, truth = [], {}
-    for k in range(240):
-        wanted = rng.choice([["land"], ["law"], ["land", "law"], ["none"]])
+    for k in range(360):
+        wanted = rng.choice([["land"], ["law"], ["health"], ["sport"], ["science"], ["labour"], ["land", "law"], ["none"]])
         of = [rng.choice(wanted) for _ in range(8)] + wanted * 2 + (["law"] if wanted == ["land"] else [])
         docs.append((k, unicodedata.normalize("NFC", " ".join(map(sentence, of))), "clash"))
         truth[k] = {s for s in wanted if of.count(s) >= 0.2 * len(of)} - {"none"}
     docs += [(900, None, ""), (901, "", ""), (902, " \n", "")]
-    labels = [(k, s.upper() + " ", "an1") for k in range(120) for s in (truth[k] or {"none"})] + [(1, "wrong?", "an2"), (2, None, None), (None, "law", "an1")]
+    labels = [(k, s.upper() + " ", "an1") for k in range(240) for s in (truth[k] or {"none"})] + [(1, "wrong?", "an2"), (2, None, None), (None, "law", "an1")]
     documents_ = spark.createDataFrame(docs, "doc_id bigint, text string, subject string")
     rules = subjects.fit(documents_, spark.createDataFrame(labels, "doc_id bigint, subject string, annotator string"), spark.createDataFrame([(s,) for s in own], "subject string"))
     got = defaultdict(set)
     for r in subjects.assign_subjects(documents_, rules).collect():
         got[r.doc_id].add(r.subject)
-    held_out = range(120, 240)
+    held_out = range(240, 360)
     assert sum(got[k] == truth[k] for k in held_out) >= 0.95 * len(held_out) and not any(got[k] for k in (900, 901, 902))
     assert subjects.assign_subjects(documents_.limit(0), rules).count() == 0 and subjects.assign_subjects(documents_, {}).count() == 0
 
