@@ -55,7 +55,7 @@ LEAST_WORDS = 3
 
 WORD = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"</?[a-z]+[^<>]*>")
-BREAK = re.compile(r"[\r\n]+|(?<=[.?!])\s+(?=[^\W\d_a-zà-ỹđ])")
+BREAK = re.compile(r"[.?!]\s+(?=[^\W\d_a-zà-ỹđ])|[\r\n]+")
 LEAD = re.compile(r"^(?:\s|\|)*(?:(?:điều|dieu|mục|muc|khoản|khoan|article|section)\s+\d+\s*[.:]|\d+\s*[.)]|[-*•+–]|(?:hỏi|đáp|hoi|dap|q|a|question|answer)\s*:)?")
 
 
@@ -247,7 +247,7 @@ def kept_rules(mined: list) -> dict[tuple[str, ...], tuple[str, float]]:
 
 
 class _Evidence(dict):
-    """(word before, word) -> its rules' (subject, log odds) and its items of longer rules; None without any."""
+    """(word before, word) -> subject and log odds of its rules, and the rest: other subjects, items of longer rules; None without any."""
 
     def __init__(self, single: dict, paired: set):
         super().__init__()
@@ -264,9 +264,16 @@ class _Evidence(dict):
             codes.append(self.folded[word])
         before, code = codes
         items = [] if not code else [code, f"{before} {code}"] if before else [code]
-        hits = [self.single[i] for i in items if i in self.single]
+        odds: dict[str, float] = {}
+        for subject, more in (self.single[i] for i in items if i in self.single):
+            odds[subject] = odds.get(subject, 0.0) + more
         marks = [i for i in items if i in self.paired]
-        found = self[key] = (hits, marks) if hits or marks else None
+        if not odds and not marks:
+            found = None
+        else:
+            hits = list(odds.items()) or [("", 0.0)]
+            found = (*hits[0], (hits[1:], marks) if marks or hits[1:] else None)
+        self[key] = found
         return found
 
 
@@ -281,10 +288,13 @@ class Scorer:
     def sentence(self, words: list[str]) -> str | None:
         evidence: dict[str, float] = {}
         marked: list[str] = []
-        for found in filter(None, map(self.evidence.__getitem__, zip(["", *words], words))):
-            for subject, odds in found[0]:
-                evidence[subject] = evidence.get(subject, 0.0) + odds
-            marked += found[1]
+        for subject, odds, rest in filter(None, map(self.evidence.__getitem__, zip(["", *words], words))):
+            evidence[subject] = evidence.get(subject, 0.0) + odds
+            if rest:
+                for other, more in rest[0]:
+                    evidence[other] = evidence.get(other, 0.0) + more
+                marked += rest[1]
+        evidence.pop("", None)
         if len(marked) > 1:
             distinct = sorted(set(marked))
             for k, a in enumerate(distinct):
@@ -294,7 +304,7 @@ class Scorer:
                         evidence[hit[0]] = evidence.get(hit[0], 0.0) + hit[1]
         if not evidence:
             return None
-        subject = max(evidence, key=lambda s: (evidence[s], s))
+        subject = next(iter(evidence)) if len(evidence) == 1 else max(evidence, key=lambda s: (evidence[s], s))
         return subject if evidence[subject] > EVIDENCE else None
 
     def text(self, text: str | None, share: float = SHARE) -> list[str]:
