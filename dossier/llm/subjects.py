@@ -249,9 +249,9 @@ def kept_rules(mined: list) -> dict[tuple[str, ...], tuple[str, float]]:
 class _Evidence(dict):
     """(word before, word) -> subject and log odds of its rules, and the rest: other subjects, items of longer rules; None without any."""
 
-    def __init__(self, single: dict, paired: set):
+    def __init__(self, single: dict, paired: set, triggers: dict):
         super().__init__()
-        self.single, self.paired, self.folded = single, paired, {}
+        self.single, self.paired, self.triggers, self.folded = single, paired, triggers, {}
 
     def __missing__(self, key: tuple[str, str]):
         if len(self) > 500_000:
@@ -272,7 +272,7 @@ class _Evidence(dict):
             found = None
         else:
             hits = list(odds.items()) or [("", 0.0)]
-            found = (*hits[0], (hits[1:], marks) if marks or hits[1:] else None)
+            found = (*hits[0], (hits[1:], marks, [i for i in marks if i in self.triggers]) if marks or hits[1:] else None)
         self[key] = found
         return found
 
@@ -282,26 +282,33 @@ class Scorer:
 
     def __init__(self, rules: dict[tuple[str, ...], tuple[str, float]]):
         single = {p[0]: (s, log(c / (1 - c))) for p, (s, c) in rules.items() if len(p) == 1}
-        self.longer = {p: (s, log(c / (1 - c))) for p, (s, c) in rules.items() if len(p) == 2}
-        self.evidence = _Evidence(single, {i for p in self.longer for i in p})
+        # A rule of two items is looked for where its longer item, the rarer one as a rule, occurs.
+        self.longer: dict[str, dict[str, tuple[str, float]]] = defaultdict(dict)
+        for pattern, (s, c) in rules.items():
+            if len(pattern) == 2:
+                other, trigger = sorted(pattern, key=len)
+                self.longer[trigger][other] = (s, log(c / (1 - c)))
+        self.evidence = _Evidence(single, {i for t, others in self.longer.items() for i in (t, *others)}, self.longer)
 
     def sentence(self, words: list[str]) -> str | None:
         evidence: dict[str, float] = {}
         marked: list[str] = []
+        triggers: list[str] = []
         for subject, odds, rest in filter(None, map(self.evidence.__getitem__, zip(["", *words], words))):
             evidence[subject] = evidence.get(subject, 0.0) + odds
             if rest:
                 for other, more in rest[0]:
                     evidence[other] = evidence.get(other, 0.0) + more
                 marked += rest[1]
+                triggers += rest[2]
         evidence.pop("", None)
-        if len(marked) > 1:
-            distinct = sorted(set(marked))
-            for k, a in enumerate(distinct):
-                for b in distinct[k + 1 :]:
-                    hit = self.longer.get((a, b))
-                    if hit:
-                        evidence[hit[0]] = evidence.get(hit[0], 0.0) + hit[1]
+        if triggers and len(marked) > 1:
+            present = set(marked)
+            for trigger in set(triggers):
+                others = self.longer[trigger]
+                for other in others.keys() & present:
+                    subject, odds = others[other]
+                    evidence[subject] = evidence.get(subject, 0.0) + odds
         if not evidence:
             return None
         subject = next(iter(evidence)) if len(evidence) == 1 else max(evidence, key=lambda s: (evidence[s], s))
