@@ -134,6 +134,20 @@ def test_entities_end_to_end(spark):
     assert entities.matches(none, entities.fit(none)).count() == 0
 
 
+def test_entities_look_behind_frequent_runs_too(spark):
+    words = [f"từ{k}" for k in range(100)]
+    records = spark.createDataFrame(
+        [(1, None, None, None, None, " ".join(words), datetime(2024, 1, 1))],
+        "context_id bigint, name string, law_id string, issuing_place string, issued_on string, passage string, collected_at timestamp",
+    )
+    ids = ["x", *(f"d{k}" for k in range(25))]
+    held = [(i, " ".join(words[:40] if i == "x" else words[35:])) for i in ids]
+    left = spark.createDataFrame([(i, None, None, None, None, datetime(2024, 1, 1)) for i in ids], "id string, title string, number string, agency string, issued_date string, loaded_at timestamp")
+    got = entities.candidate_vectors(records, left, spark.createDataFrame(held, "document_id string, text string")).first()
+    # The record's rarest runs lead to x alone; more than half of its runs are in each of the others.
+    assert {c.d for c in got.candidates} == set(ids)
+
+
 # --- Problem 3
 
 
