@@ -7,9 +7,8 @@ similarity.  In each run every class starts at the root and follows, at each nod
 tokens that the node's hash samples, 1/BRANCH in expectation; classes that share sampled
 tokens meet in the same node.  The depth of the first nodes follows from the number of
 classes, the number of runs from the target recall.  Small nodes are compared in full on
-short signatures; a node above NODE_ROWS is split further along sampled tokens, and one
-whose members stay together (they are alike) is compared in blocks.  Every pair that
-passes is checked exactly on the word sets.
+short signatures, nodes above NODE_ROWS in blocks: splitting them further would lose pairs
+that the runs aren't planned for.  Every pair that passes is checked exactly on the word sets.
 
 Nothing about all documents reaches the driver; no node, class or block is held whole by a
 task beyond NODE_ROWS rows.
@@ -39,8 +38,8 @@ SHINGLE, SIMILARITY, LEAST_WORDS = 3, 0.7, 20
 COORDINATES, BRANCH, TARGET_RECALL = 128, 0.75, 0.999
 #: Similarity of unrelated texts that the first depth is planned for, and rows wanted in a first node.
 UNRELATED, FIRST_ROWS = 0.08, 24
-#: Rows that one node may have to be compared in full, and the deepest split.
-NODE_ROWS, DEEPEST = 2_000, 12
+#: Rows that one node may have to be compared by one task; larger ones are compared in blocks.
+NODE_ROWS = 2_000
 #: Bytes of each hash that the exact check compares.
 KEPT_BYTES = 5
 #: Bytes of the short signature, and how many must agree for a pair to be checked.
@@ -204,20 +203,6 @@ def _first_nodes(depth: int, runs: int):
     return run
 
 
-def _next_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, rows, class, sketch) to the children of each node."""
-    for whole in batches:
-        for start in range(0, whole.num_rows, 4_000):
-            batch = whole.slice(start, 4_000)
-            nodes = batch.column(0).to_numpy().view(np.uint64)
-            rows, children = _follow(_tokens(batch.column(3)), np.arange(batch.num_rows), nodes)
-            take = pa.array(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(children.view(np.int64)), batch.column(1).take(take), batch.column(2).take(take), _shorts(batch.column(3)).take(take)],
-                names=["node", "parent_rows", "class", "short"],
-            )
-
-
 NODE = "node bigint, class bigint, short binary"
 PAIR = "class_a bigint, class_b bigint"
 
@@ -259,7 +244,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_members(nodes: DataFrame) -> DataFrame:
-    """(members) of the block pairs of nodes too alike to be split; the rows of a node are dealt into blocks."""
+    """(members) of the block pairs of nodes (node, class, short, rows) above NODE_ROWS; the rows of a node are dealt into blocks."""
     blocks = F.ceil(F.col("rows") / (NODE_ROWS // 2)).cast("int")
     dealt = nodes.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("class", F.lit(7)), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -275,24 +260,14 @@ def _block_members(nodes: DataFrame) -> DataFrame:
 def candidate_pairs(sketches: DataFrame, similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
     """(class_a, class_b), each once, of classes (class, sketch) that may be as similar as ``similarity``."""
     depth, runs = plan(sketches.count(), similarity, recall)
-    nodes = sketches.select("class", "sketch").mapInArrow(_first_nodes(depth, runs), NODE).withColumn("parent_rows", F.lit(0).cast("bigint"))
-    found: DataFrame | None = None
-    while True:
-        large = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > NODE_ROWS))
-        number = large.count()
-        small = join_checked(nodes, large.select("node"), "node", "left_anti", number) if number else nodes
-        members = small.groupBy("node").agg(F.collect_list(F.struct("class", "short")).alias("members")).where(F.size("members") > 1)
-        pairs = members.select("members").mapInArrow(_compare, PAIR)
-        found = pairs if found is None else found.unionByName(pairs)
-        if not number:
-            break
-        heavy = cut(join_checked(nodes, large, "node", "inner", number))
-        # Members that stay together in spite of a split are alike: these nodes are compared in blocks.
-        stay = (F.col("parent_rows") > 0) & (F.col("rows") > 0.7 * F.col("parent_rows")) if depth < DEEPEST else F.lit(True)
-        found = found.unionByName(_block_members(heavy.where(stay)))
-        parted = heavy.where(~stay).select("node", F.col("rows").alias("parent_rows"), "class").join(sketches.select("class", "sketch"), "class")
-        nodes = cut(parted.select("node", "parent_rows", "class", "sketch").mapInArrow(_next_nodes, "node bigint, parent_rows bigint, class bigint, short binary"))
-        depth += 1
+    nodes = sketches.select("class", "sketch").mapInArrow(_first_nodes(depth, runs), NODE)
+    large = cut(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > NODE_ROWS))
+    number = large.count()
+    small = join_checked(nodes, large.select("node"), "node", "left_anti", number) if number else nodes
+    members = small.groupBy("node").agg(F.collect_list(F.struct("class", "short")).alias("members")).where(F.size("members") > 1)
+    found = members.select("members").mapInArrow(_compare, PAIR)
+    if number:
+        found = found.unionByName(_block_members(cut(join_checked(nodes, large, "node", "inner", number))))
     return found.distinct()
 
 

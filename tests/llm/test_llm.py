@@ -69,6 +69,21 @@ def test_large_alike_node_is_compared_in_blocks(spark, monkeypatch):
     assert set(rows(neardup.near_pairs(documents(spark, texts)), "id_a", "id_b")) == brute_jaccard(texts)
 
 
+def test_pairs_inside_hot_nodes_are_found(spark, monkeypatch):
+    """A third of the rows are forms of the same clauses, about 0.5 alike, with copies at about 0.7."""
+    monkeypatch.setattr(neardup, "NODE_ROWS", 4)
+    rng = random.Random(5)
+    clause = [[[f"c{k}{v}{w}" for w in range(12)] for v in "ab"] for k in range(40)]
+    forms = [[int(rng.random() > 0.79) for _ in clause] for _ in range(70)]
+    for form in forms[:70]:
+        forms.append([v ^ (k in changed) for changed in [rng.sample(range(40), 6)] for k, v in enumerate(form)])
+    texts = {f"h{n:03}": " ".join(w for k, v in enumerate(form) for w in clause[k][v]) for n, form in enumerate(forms)}
+    texts |= {f"o{n:03}": " ".join(f"o{rng.randrange(5000)}" for _ in range(100)) for n in range(200)}
+    expected = brute_jaccard(texts)
+    assert len(expected) >= 30
+    assert set(rows(neardup.near_pairs(documents(spark, texts)), "id_a", "id_b")) == expected
+
+
 def test_near_groups(spark):
     texts = corpus(5, groups=3) | {"alone": " ".join(f"riêng{k}" for k in range(30))}
     got = {r.id: r for r in neardup.near_groups(documents(spark, texts)).collect()}
