@@ -533,7 +533,9 @@ def q_document_relations(spark, sf_dir):
 
 @query()
 def q_hybrid(spark, sf_dir):
-    points = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "documents").select((F.col("doc_id") % 500).alias("vec_id"), "text").dropDuplicates(["vec_id"]), "vec_id").withColumnRenamed("vec_id", "id")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    points = cut(documents.withColumn("vec_id", F.pmod("id", F.lit(vectors.count()))).join(vectors, "vec_id").drop("vec_id"))
     asked = points.where("id % 100 = 0").select(F.col("id").alias("query_id"), "text", "embedding")
     return search.search(points, cut(search.postings(points)), asked, "auto", 10).select("query_id", "id", r6(F.col("score")).alias("score"), "rank")
 
