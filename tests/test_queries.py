@@ -1,3 +1,5 @@
+from datetime import datetime
+
 from dossier import queries
 
 
@@ -20,3 +22,17 @@ def test_hybrid_finds_every_document(spark, tmp_path):
     got = queries.q_hybrid(spark, folder)
     asked = [0, 100, 500, 600]
     assert rows(got, "query_id", "id") == [(q, i) for q in asked for i in ids]
+
+
+def test_retrieve_follows_relations_to_their_evidence(spark, tmp_path):
+    header = "Tên\nSố hiệu: x\nMục: y\n"
+    chunks = [("100:0", "100", header + "Văn bản hỏi"), ("7:0", "7", header + "Không nói gì"), ("7:1", "7", header + "Bãi bỏ 5/2020/QĐ-A"), *((f"{k}:0", f"{k}", header + f"Khác {k}") for k in range(11, 60))]
+    documents = [("100", "5/2020/QĐ-A", None, None), ("7", "6/2020/QĐ-A", None, None)]
+    folder = write(
+        spark, tmp_path, document_chunk=(chunks, "id string, document_id string, text string"), legal_document=(documents, "id string, number string, agency string, signer string"),
+        mention=([("7", "5/2020/QĐ-A", "5/2020/QĐ-A", ["cites", "repeals"], datetime(2025, 1, 1))], "document_id string, number string, number_norm string, kinds array<string>, extracted_at timestamp"),
+    )
+    got = queries.q_retrieve(spark, folder)
+    # All chunks of documents divisible by 100 ask; evidence comes first.
+    assert rows(got.select("query_id").distinct(), "query_id") == [("100:0",)]
+    assert rows(got.where("place = 1"), "id") == [("7:1",)]
