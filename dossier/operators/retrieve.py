@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.functions import text as X
 from dossier.plans.settings import Expansion
@@ -13,25 +18,32 @@ from dossier.plans.settings import Expansion
 def budget_select(hits: DataFrame, order: list[Column], k: int, most_chars: int, per_document: int | None = None, group: str = "query_id") -> DataFrame:
     """Rows taken greedily in ``order``: a row that would exceed the characters or its document's cap is skipped and uses nothing.
 
-    ``hits`` has (group, id, document_id, chars).  A question's hits are bounded by the searches before.
+    ``hits`` has (group, id, document_id, chars).  A group's rows stream through one task in
+    their order; only what is taken so far is kept, so a group may have any number of rows.
     """
-    n = F.row_number().over(W.partitionBy(group).orderBy(*order, "id"))
-    rows = hits.withColumn("n", n)
-    lists = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("n", "id", "document_id", F.col("chars").cast("bigint").alias("chars")))).alias("rows"))
-    start = F.expr("named_struct('taken', CAST(array() AS array<int>), 'used', CAST(0 AS bigint), 'docs', CAST(array() AS array<string>))")
-    cap = F.lit(1 << 30 if per_document is None else per_document)
-
-    def step(state: Column, row: Column) -> Column:
-        seen = F.size(F.filter(state["docs"], lambda d: d == row["document_id"]))
-        fits = (F.size(state["taken"]) < k) & (state["used"] + row["chars"] <= most_chars) & (seen < cap)
-        return F.when(fits, F.struct(
-            F.concat(state["taken"], F.array(row["n"])).alias("taken"), (state["used"] + row["chars"]).alias("used"),
-            F.concat(state["docs"], F.array(F.coalesce(row["document_id"], F.lit("")))).alias("docs"),
-        )).otherwise(state)
-
-    folded = lists.select(group, F.aggregate("rows", start, step).alias("s"))
-    taken = folded.select(group, F.posexplode("s.taken").alias("place", "n"))
-    return rows.join(taken, [group, "n"]).withColumn("place", F.col("place") + 1).drop("n")
+    rows = hits.where(F.col(group).isNotNull() & (F.col("chars") <= most_chars))
+    ordered = rows.repartition(group).sortWithinPartitions(group, *order, "id")
+    at = {name: ordered.columns.index(name) for name in (group, "document_id", "chars")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, documents = None, 0, Counter()
+        for batch in batches:
+            taken, places = [], []
+            columns = (batch.column(at[name]).to_pylist() for name in (group, "document_id", "chars"))
+            for n, (asked, document, chars) in enumerate(zip(*columns)):
+                if asked != now:
+                    now, used, documents = asked, 0, Counter()
+                full = per_document is not None and document is not None and documents[document] >= per_document
+                if documents.total() >= k or full or used + int(chars) > most_chars:
+                    continue
+                used += int(chars)
+                documents[document or ""] += 1
+                taken.append(n)
+                places.append(documents.total())
+            kept = batch.take(pa.array(taken, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(places, pa.int32())], names=[*batch.schema.names, "place"])
+
+    return ordered.mapInArrow(run, T.StructType([*ordered.schema.fields, T.StructField("place", T.IntegerType())]))
 
 
 def distinct_seeds(hits: DataFrame, number: int, key: str = "document_id") -> DataFrame:

@@ -543,9 +543,7 @@ def q_hybrid(spark, sf_dir):
 @query()
 def q_budget_select(spark, sf_dir):
     hits = table(spark, sf_dir, "documents").where("n_chars > 0 AND source IS NOT NULL").select(F.col("source").alias("query_id"), F.col("doc_id").cast("string").alias("id"), F.col("law_id").alias("document_id"), F.col("n_chars").alias("chars"))
-    first = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("chars"), "id"))
-    bounded = hits.withColumn("n", first).where("n <= 60").drop("n")
-    return retrieve.budget_select(bounded, [F.desc("chars")], 10, 18_000, 2).select("query_id", "id", "chars", "place")
+    return retrieve.budget_select(hits, [F.desc("chars")], 10, 18_000, 2).select("query_id", "id", "chars", "place")
 
 
 @query()

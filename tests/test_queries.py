@@ -36,3 +36,9 @@ def test_retrieve_follows_relations_to_their_evidence(spark, tmp_path):
     # All chunks of documents divisible by 100 ask; evidence comes first.
     assert rows(got.select("query_id").distinct(), "query_id") == [("100:0",)]
     assert rows(got.where("place = 1"), "id") == [("7:1",)]
+
+
+def test_budget_goes_on_behind_many_rows_that_do_not_fit(spark, tmp_path):
+    sizes = [17_000, *[2_000] * 80, 900]
+    folder = write(spark, tmp_path, documents=([(k, "s", f"l{k}", n) for k, n in enumerate(sizes)], "doc_id bigint, source string, law_id string, n_chars bigint"))
+    assert rows(queries.q_budget_select(spark, folder), "place", "id") == [(1, "0"), (2, "81")]
