@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,21 +98,40 @@ def mapped_passages(passages: DataFrame, articles: DataFrame, law: str = "law_id
     return joined.select("item_id", outcome.alias("outcome"), F.when(outcome == "mapped", F.col("article_id")).alias("article_id"))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def paired_bootstrap(differences: DataFrame, column: str = "difference", draws: int = 2_000, seed: int = 20261113) -> DataFrame:
     """(mean, lower, upper): 95 % interval of the mean difference.
 
     Each row's part in a draw is a Poisson(1) number from a seeded hash, so the rows are never
-    gathered: a draw is a weighted mean, and only ``draws`` sums are shuffled for a partition.
+    gathered: a draw is a weighted mean, and each batch of rows gives one sum a draw.
     """
     rows = differences.where(F.col(column).isNotNull()).select(F.xxhash64(F.struct(*differences.columns)).alias("h"), F.col(column).cast("double").alias("d"))
-    unit = (F.pmod(F.xxhash64("h", "draw", F.lit(seed)), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for n in range(9):
-        total += term
-        steps.append(F.when(unit > total, 1).otherwise(0))
-        term /= n + 1
-    weight = sum(steps[1:], steps[0])
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
-    means = drawn.groupBy("draw").agg((F.sum(F.col("w") * F.col("d")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    seeds = _mix(np.arange(1, draws + 1, dtype=np.uint64) + (np.uint64(seed) << np.uint64(32)))
+    terms = np.cumprod([0.36787944117144233, *(1 / k for k in range(1, 9))])
+    steps = (np.cumsum(terms) * 2.0**32).astype(np.uint32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weighed, weights, seen = np.zeros(draws), np.zeros(draws, np.int64), False
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4_000):
+                part, seen = batch.slice(start, 4_000), True
+                hashes, values = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy()
+                for k in range(0, draws, 50):
+                    unit = (_mix(hashes[None, :] ^ seeds[k : k + 50, None]) >> np.uint64(32)).astype(np.uint32)
+                    w = np.zeros(unit.shape, np.uint8)
+                    for step in steps:
+                        w += unit >= step
+                    weighed[k : k + 50] += w @ values
+                    weights[k : k + 50] += w.sum(axis=1, dtype=np.int64)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws)), pa.array(weighed), pa.array(weights)], names=["draw", "wd", "w"])
+
+    sums = rows.mapInArrow(run, "draw bigint, wd double, w bigint")
+    means = sums.groupBy("draw").agg((F.sum("wd") / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     bounds = means.agg(F.expr("percentile_disc(0.025) WITHIN GROUP (ORDER BY m)").alias("lower"), F.expr("percentile_disc(0.975) WITHIN GROUP (ORDER BY m)").alias("upper"))
     return rows.agg(F.avg("d").alias("mean")).crossJoin(bounds)

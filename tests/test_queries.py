@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import pytest
+
 from dossier import queries
 
 
@@ -42,3 +44,10 @@ def test_budget_goes_on_behind_many_rows_that_do_not_fit(spark, tmp_path):
     sizes = [17_000, *[2_000] * 80, 900]
     folder = write(spark, tmp_path, documents=([(k, "s", f"l{k}", n) for k, n in enumerate(sizes)], "doc_id bigint, source string, law_id string, n_chars bigint"))
     assert rows(queries.q_budget_select(spark, folder), "place", "id") == [(1, "0"), (2, "81")]
+
+
+def test_bootstrap_takes_all_orders(spark, tmp_path):
+    folder = write(spark, tmp_path, orders=([(k, 150_000.0 + k) for k in range(1, 401)], "o_orderkey bigint, o_totalprice double"))
+    got = queries.q_bootstrap(spark, folder).first()
+    # 2,000 draws: the bounds of the normal approximation, 115.5 / sqrt(400) = 5.77 a standard error.
+    assert got["mean"] == 200.5 and got.lower == pytest.approx(200.5 - 1.96 * 5.77, abs=1.2) and got.upper == pytest.approx(200.5 + 1.96 * 5.77, abs=1.2)
