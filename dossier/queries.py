@@ -325,8 +325,13 @@ def q_reference_candidates(spark, sf_dir):
 def q_candidate_shortlist(spark, sf_dir):
     reference = q_reference_candidates(spark, sf_dir)
     entity = candidates.entity_candidates(_entities(spark, sf_dir), 5, 20)
-    rank = F.row_number().over(W.partitionBy("source_id").orderBy(F.desc("score"), "target_id")).cast("int")
-    merged = candidates.merge_signals(candidates.signals(reference, entity, entity.withColumn("signal", F.lit("dense")).withColumn("rank", rank)))
+    texts = _documents(spark, sf_dir).where("full_text IS NOT NULL").select("id", F.col("full_text").alias("text"))
+    points = cut(ingest.stub_embedding(texts))
+    side = lambda name: points.select(F.col("id").alias(name), "embedding")
+    # One more than wanted: a document's nearest is itself.
+    near = search.dense_topk(side("target_id"), side("source_id"), 21, "target_id", "source_id").where("source_id <> target_id").drop("rank")
+    dense = search.ranked(near, 20, "source_id", "target_id").withColumn("signal", F.lit("dense"))
+    merged = candidates.merge_signals(candidates.signals(reference, entity, dense))
     return candidates.shortlist(cut(merged), 5).select("source_id", "target_id", "explicit", r6(F.col("rank_score")).alias("rank_score"), "place")
 
 

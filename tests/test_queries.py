@@ -51,3 +51,14 @@ def test_bootstrap_takes_all_orders(spark, tmp_path):
     got = queries.q_bootstrap(spark, folder).first()
     # 2,000 draws: the bounds of the normal approximation, 115.5 / sqrt(400) = 5.77 a standard error.
     assert got["mean"] == 200.5 and got.lower == pytest.approx(200.5 - 1.96 * 5.77, abs=1.2) and got.upper == pytest.approx(200.5 + 1.96 * 5.77, abs=1.2)
+
+
+def test_shortlist_has_candidates_that_only_vectors_find(spark, tmp_path):
+    at = datetime(2025, 1, 1)
+    documents = [(i, i, text, None, None, at) for i, text in (("a", "một văn bản"), ("b", "một văn bản"), ("c", "hai"))]
+    folder = write(
+        spark, tmp_path, legal_document=(documents, "id string, number string, full_text string, agency string, signer string, loaded_at timestamp"),
+        mention=([], "document_id string, number_norm string"),
+    )
+    got = queries.q_candidate_shortlist(spark, folder)
+    assert {("a", "b"), ("b", "a")} <= set(rows(got.where("place = 1"), "source_id", "target_id"))
