@@ -1,3 +1,4 @@
+import math
 import random
 import unicodedata
 from collections import Counter, defaultdict
@@ -159,8 +160,60 @@ def test_entities_look_behind_frequent_runs_too(spark):
     held = [(i, " ".join(words[:40] if i == "x" else words[35:])) for i in ids]
     left = spark.createDataFrame([(i, None, None, None, None, datetime(2024, 1, 1)) for i in ids], "id string, title string, number string, agency string, issued_date string, loaded_at timestamp")
     got = entities.candidate_vectors(records, left, spark.createDataFrame(held, "document_id string, text string")).first()
-    # The record's rarest runs lead to x alone; more than half of its runs are in each of the others.
-    assert {c.d for c in got.candidates} == set(ids)
+    # The record's rarest runs lead to x alone; more than half of its runs are in each of the others, which are alike.
+    assert sorted((c.d, c.n) for c in got.candidates) == [("d0", 25), ("x", 1)]
+
+
+def brute_shares(records, held, documents):
+    """The (record, document) pairs that share half of the runs, or the least weight of the held ones."""
+    out = set()
+    for r, own in records.items():
+        weight = {x: math.log((documents + 1) / n) for x in own if (n := sum(x in h for h in held.values()))}
+        for d, theirs in held.items():
+            shared = own & theirs
+            if shared and (len(shared) >= entities.LEAST_COUNT * len(own) or sum(map(weight.get, shared)) >= entities.LEAST_WEIGHT * sum(weight.values())):
+                out.add((r, d))
+    return out
+
+
+@pytest.mark.parametrize("block", [1_000, 2])
+def test_candidates_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(entities, "BLOCK_RECORDS", block)
+    rng, hot = random.Random(9), " ".join(f"hot{k}" for k in range(30))
+    passages = {k: " ".join(hot.split()[:20] + [f"w{rng.randrange(60)}" for _ in range(40)]) if k else None for k in range(12)}
+    texts = {f"d{k:02}": " ".join(([hot] if k % 3 == 0 else []) + [(passages[1 + k % 11] if k < 30 else "")[60 + k :], f"own{k} " * 9]) for k in range(40)}
+    runs = lambda t: set(next(iter(shingles([t or ""])))) if t else set()
+
+    def shingles(batch):
+        for s in neardup.shingle_sets(batch, entities.RUN, entities.RUN, folded=True):
+            yield [] if s is None else s[neardup._mix(s) < np.uint64(((1 << 64) - 1) // entities.SAMPLE)].tolist()
+
+    at = datetime(2024, 1, 1)
+    left = spark.createDataFrame([(k, None, None, None, None, p, at) for k, p in passages.items()], "context_id bigint, name string, law_id string, issuing_place string, issued_on string, passage string, collected_at timestamp")
+    right = spark.createDataFrame([(d, None, None, None, f"{k % 28 + 1}/1/{1950 + k}", at) for k, d in enumerate(texts)], "id string, title string, number string, agency string, issued_date string, loaded_at timestamp")
+    got = entities.candidate_vectors(left, right, spark.createDataFrame(list(texts.items()), "document_id string, text string"))
+    total = Counter()
+    for row in got.collect():
+        total[row.r] += sum(c.n for c in row.candidates)
+    expected = brute_shares({k: runs(p) for k, p in passages.items()}, {d: runs(t) for d, t in texts.items()}, len(texts))
+    assert expected and total == Counter(r for r, _ in expected)
+
+
+def test_equal_number_needs_another_agreement(spark):
+    at = datetime(2024, 1, 1)
+    place = "Sở Tư pháp Mạc Kỳ"
+    records = [(1, None, "5/2020", place, None, None, at), (2, None, "5/2020", "Bộ Khác", None, None, at), (3, None, "5/2020", None, None, None, at), (4, None, None, place, None, None, at)]
+    left = spark.createDataFrame(records, "context_id bigint, name string, law_id string, issuing_place string, issued_on string, passage string, collected_at timestamp")
+    right = spark.createDataFrame([("a", "Tên", "5/2020/QĐ", place, None, at), ("b", None, None, None, None, at), (None, "x", "5/2020/QĐ", place, None, at)], "id string, title string, number string, agency string, issued_date string, loaded_at timestamp")
+    got = entities.candidate_vectors(left, right, spark.createDataFrame([(None, "x"), ("a", None)], "document_id string, text string"))
+    assert {(r.r, c.d) for r in got.collect() for c in r.candidates} == {(1, "a"), (3, "a")}
+
+
+def test_confidence_is_that_of_the_one_candidate():
+    mixture = entities.Mixture(0.3, np.array([[0.2] * 5, [0.9] * 5]), np.full((2, 5), 0.02))
+    vectors, one, first = np.array([[0.9] * 5, [0.9] * 5]), np.ones(2), np.array([0])
+    assert mixture.posteriors(vectors, one, first) == pytest.approx([0.5, 0.5], abs=1e-3)
+    assert mixture.posteriors(vectors[:1], np.array([2.0]), first) == pytest.approx([0.5], abs=1e-3)
 
 
 # --- Problem 3
