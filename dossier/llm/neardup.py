@@ -78,6 +78,15 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+def word_hashes(codes: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the runs of code points that are ``inside`` a word."""
+    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    up, down = _powers(1 << max(20, int(len(codes)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * up[: len(codes)])])
+    return starts, ends, _mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def shingle_sets(texts: list[str | None], shingle: int = SHINGLE, least: int = LEAST_WORDS, folded: bool = False) -> list[np.ndarray | None]:
     """Sorted distinct 64-bit hashes of the runs of ``shingle`` words of each text, None for short texts; ``folded``: without accents."""
     forms = [(consistent_form(t) or "").lower() if t else "" for t in texts]
@@ -90,11 +99,7 @@ def shingle_sets(texts: list[str | None], shingle: int = SHINGLE, least: int = L
         inside[k] = chr(codes[k]).isalnum()
     if folded:
         codes = np.where(codes > 0xFFFF, codes, _plain_table()[small])
-    edge = np.diff(np.concatenate([[0], inside.view(np.int8), [0]]))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(1 << max(20, int(len(codes)).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes.astype(np.uint64) * up[: len(codes)])])
-    words = _mix((sums[ends] - sums[starts]) * down[starts])
+    starts, _, words = word_hashes(codes, inside)
     counts = np.diff(np.concatenate([[0], np.searchsorted(starts, stops)]))
     out: list[np.ndarray | None] = []
     at = 0

@@ -1,16 +1,20 @@
 """Problem 9: subject areas of each document, by class-association rules.
 
-The sentences of hand-labelled documents are transactions of words and pairs of
-neighbouring words (without accents, so texts that lost theirs match too).  Frequent
-patterns are mined by parallel frequent-pattern growth: items are dealt into groups, each
-transaction is sent to the groups of its items as the prefix that the group needs, and each
-group grows its own pattern tree whose nodes count the subjects.  A rule is a pattern of at
-most PATTERN items that names a subject with enough confidence; a longer rule that is no
-better than a shorter one within it is redundant and dropped.
-
-Every document is then scored sentence by sentence: the matching rules' calibrated
-confidences add up as log odds, the sentence goes to the subject with the most evidence,
-and a document has each subject that at least a fifth of its sentences deal with.
+The sentences of hand-labelled documents are transactions of words and pairs of neighbouring
+words (hashes of their letters without accents, so texts that lost theirs match too).
+Frequent patterns are mined by parallel frequent-pattern growth: items are counted in
+parallel and those that tell subjects apart are ranked, each transaction is sent to the
+groups of its items as the prefix that the group needs, and each group grows its own pattern
+tree whose nodes count the subjects.  Every rule, of one item or of several, comes out of
+these trees.  A rule is a pattern of at most PATTERN items that names a subject with enough
+confidence; a longer rule is redundant, and dropped, if a shorter one within it names the
+same subject with a confidence that is less by no more than LONGER_GAIN.
+
+One labelled document in FOLD is kept out of mining: a rule's confidence is calibrated on the
+sentences of these.  Every document is then scored sentence by sentence: the log odds of the
+matching rules add up, the sentence goes to the subject with the most evidence, and a
+document has each subject that at least a fifth of its sentences deal with.  All sentences of
+an Arrow batch are scored together on arrays.
 
 The rules are fitted on at most LABELLED_DOCUMENTS labelled documents (the least hashes of
 their ids); this bounds the rules, which are sent to all tasks.  Scoring covers all rows.
@@ -25,26 +29,30 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 from math import ceil, log
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.textform import consistent_form
+from dossier.llm.neardup import _mix, _word_table, word_hashes
 from dossier.plans.shared import cut, table
 
-#: Most labelled documents that the rules are fitted on.
-LABELLED_DOCUMENTS = 20_000
+#: Most labelled documents that the rules are fitted on, and which share of them (1/FOLD) calibrates.
+LABELLED_DOCUMENTS, FOLD = 8_000, 5
 #: Least documents, and share of the labelled sentences, that hold a rule's pattern; a longer pattern needs LONGER times as many.
 LEAST_DOCUMENTS, LEAST_SUPPORT, LONGER = 3, 0.0004, 3
-#: Least confidence of a rule of one item and of a longer one, what a longer one must add, and the most items.
-LEAST_CONFIDENCE, LONGER_CONFIDENCE, LONGER_GAIN, PATTERN = 0.7, 0.9, 0.1, 2
+#: Least confidence of a rule, of a longer one, what a longer one must add, and the most items.
+LEAST_CONFIDENCE, LONGER_CONFIDENCE, LONGER_GAIN, PATTERN = 0.7, 0.9, 0.1, 3
 #: An item is mined if it names a subject, or a subject is this many times as frequent with it as without regard to it.
 LEAST_LIFT = 3.0
-#: Weight of the prior in a rule's calibrated confidence, in sentences.
-PRIOR = 2.0
+#: Weight, in sentences, of an even chance in a rule's confidence, and of the mined confidence in the calibrated one.
+PRIOR, TRUST = 2.0, 20.0
 #: Most confidence that a rule may have.
 MOST_SURE = 0.99
 GROUPS = 24
@@ -52,11 +60,12 @@ GROUPS = 24
 EVIDENCE = 1.0
 SHARE = 0.2
 LEAST_WORDS = 3
+#: Texts that are read as one array.
+SLICE = 512
 
-WORD = re.compile(r"[^\W_]+")
 MARKUP = re.compile(r"</?[a-z]+[^<>]*>")
 BREAK = re.compile(r"[.?!]\s+(?=[^\W\d_a-zà-ỹđ])|[\r\n]+")
-LEAD = re.compile(r"^(?:\s|\|)*(?:(?:điều|dieu|mục|muc|khoản|khoan|article|section)\s+\d+\s*[.:]|\d+\s*[.)]|[-*•+–]|(?:hỏi|đáp|hoi|dap|q|a|question|answer)\s*:)?")
+LEAD = re.compile(r"(?i)(?:\s|\|)*(?:(?:điều|dieu|mục|muc|khoản|khoan|article|section)\s+\d+\s*[.:]|\d+\s*[.)]|[-*•+–]|(?:hỏi|đáp|hoi|dap|q|a|question|answer)\s*:)?")
 
 
 def fold(word: str) -> str:
@@ -65,22 +74,62 @@ def fold(word: str) -> str:
     return plain.replace("đ", "d")
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """The words of each sentence of a text: running text, lists, tables, mark-up, questions and answers."""
-    if not text:
-        return []
-    out = []
-    for sentence in BREAK.split(MARKUP.sub(" ", consistent_form(text)) if "<" in text or "＜" in text else consistent_form(text)):
-        lower = sentence.lower()
-        words = WORD.findall(lower, LEAD.match(lower).end())
-        if len(words) >= LEAST_WORDS:
-            out.append(words)
-    return out
-
-
-def items_of(words: list[str]) -> set[str]:
-    folded = [fold(w) for w in words]
-    return {*(w for w in folded if not w.isdigit()), *(f"{a} {b}" for a, b in zip(folded, folded[1:]) if not (a.isdigit() or b.isdigit()))}
+@lru_cache(maxsize=1)
+def _folded_table() -> np.ndarray:
+    """For each BMP code point its lower-case letter without accents."""
+    table = np.arange(0x10000, dtype=np.uint32)
+    for code in range(0x10000):
+        if not 0xD800 <= code < 0xE000:
+            table[code] = ord((fold(chr(code).lower()) or chr(code))[0])
+    return table
+
+
+@lru_cache(maxsize=1)
+def _digit_table() -> np.ndarray:
+    return np.fromiter((chr(c).isdigit() for c in range(0x10000)), dtype=bool, count=0x10000)
+
+
+class Sentences:
+    """The words of a list of texts as arrays: ``words`` (hashes), ``number`` (is it one), ``sentence`` of each; ``text`` of each sentence.
+
+    A sentence has at least LEAST_WORDS words behind its numbering or bullet; others are left out.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        forms = [MARKUP.sub(" ", f) if "<" in f else f for f in (consistent_form(t) or "" for t in texts)]
+        joined = "\n".join(forms)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        small = np.minimum(codes, 0xFFFF)
+        inside, digit = _word_table()[small], _digit_table()[small]
+        for k in np.flatnonzero(codes > 0xFFFF):
+            inside[k], digit[k] = chr(codes[k]).isalnum(), chr(codes[k]).isdigit()
+        starts, ends, words = word_hashes(np.where(codes > 0xFFFF, codes, _folded_table()[small]), inside)
+        digits = np.concatenate([[0], np.cumsum(digit)])
+        number = digits[ends] - digits[starts] == ends - starts
+        opens = [0, *(m.end() for m in BREAK.finditer(joined))]
+        bodies = np.array([LEAD.match(joined, k).end() for k in opens])
+        opens = np.array(opens)
+        sentence = np.searchsorted(opens, starts, side="right") - 1
+        kept = starts >= bodies[sentence]
+        kept &= np.bincount(sentence[kept], minlength=len(opens))[sentence] >= LEAST_WORDS
+        used, self.sentence = np.unique(sentence[kept], return_inverse=True)
+        self.words, self.number = words[kept], number[kept]
+        stops = np.cumsum([len(f) + 1 for f in forms])
+        self.text = np.searchsorted(stops, opens[used], side="right")
+
+    def items(self) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, item) of each word and each pair of neighbours that has no number."""
+        word = ~self.number
+        pair = word[:-1] & word[1:] & (self.sentence[:-1] == self.sentence[1:])
+        pairs = _mix(self.words[:-1] + np.uint64(1)) ^ self.words[1:]
+        at = np.concatenate([self.sentence[word], self.sentence[:-1][pair]])
+        return at, np.concatenate([self.words[word], pairs[pair]]).view(np.int64)
+
+
+def item(text: str) -> int:
+    """The item of a word or of two neighbouring words."""
+    made = Sentences([f"{text} {'x ' * LEAST_WORDS}"])
+    return int((made.words[:1] if " " not in text else _mix(made.words[:1] + np.uint64(1)) ^ made.words[1:2]).view(np.int64)[0])
 
 
 def clean_labels(labels: DataFrame, subjects: DataFrame, limit: int = LABELLED_DOCUMENTS) -> DataFrame:
@@ -96,30 +145,36 @@ def clean_labels(labels: DataFrame, subjects: DataFrame, limit: int = LABELLED_D
 
 
 def transactions(labelled: DataFrame) -> DataFrame:
-    """(doc_id, items, subjects) of each sentence of the documents (doc_id, text, subjects)."""
+    """(doc_id, held, items, subjects) of each sentence of the documents (doc_id, text, subjects); ``held``: kept for calibration."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [
-                (doc, sorted(items_of(words)), subjects)
-                for doc, text, subjects in zip(frame.doc_id, frame.text, frame.subjects)
-                for words in sentences(text)
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "items", "subjects"])
-
-    return labelled.select("doc_id", "text", "subjects").mapInPandas(run, "doc_id bigint, items array<string>, subjects map<string,double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                made = Sentences(batch.column(2).to_pylist())
+                at, items = made.items()
+                order = np.lexsort([items, at])
+                at, items = at[order], items[order]
+                fresh = np.concatenate([[True], (at[1:] != at[:-1]) | (items[1:] != items[:-1])])[: len(at)]
+                bounds = np.concatenate([[0], np.cumsum(np.bincount(at[fresh], minlength=len(made.text)))]).astype(np.int32)
+                rows = batch.take(pa.array(made.text))
+                lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(items[fresh]))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), lists, rows.column(3)], names=["doc_id", "held", "items", "subjects"])
+
+    held = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(FOLD)) == 0
+    return labelled.select("doc_id", held.alias("held"), "text", "subjects").mapInArrow(run, "doc_id bigint, held boolean, items array<bigint>, subjects map<string,double>")
 
 
 class PatternTree:
     """Prefix tree of one item group; each node counts its sentences and the weights of their subjects."""
 
     def __init__(self):
-        self.children: dict[tuple[int, str], int] = {}
-        self.parent, self.item, self.total = [-1], [""], [0.0]
+        self.children: dict[tuple[int, int], int] = {}
+        self.parent, self.item, self.total = [-1], [0], [0.0]
         self.subjects: list[dict[str, float]] = [defaultdict(float)]
-        self.where: dict[str, list[int]] = defaultdict(list)
+        self.where: dict[int, list[int]] = defaultdict(list)
 
-    def add(self, items: list[str], subjects: dict[str, float]) -> None:
+    def add(self, items: list[int], subjects: dict[str, float]) -> None:
         node = 0
         for item in items:
             child = self.children.get((node, item))
@@ -135,7 +190,7 @@ class PatternTree:
             for subject, weight in subjects.items():
                 self.subjects[node][subject] += weight
 
-    def grow(self, suffix: str, least: int, size: int):
+    def grow(self, suffix: int, least: int, size: int):
         """(pattern, sentences, subject weights) of all patterns that end with ``suffix``."""
         base = []
         for node in self.where.get(suffix, ()):
@@ -147,7 +202,7 @@ class PatternTree:
         yield from _grow_base([suffix], base, least, size)
 
 
-def _grow_base(pattern: list[str], base: list, least: int, size: int):
+def _grow_base(pattern: list[int], base: list, least: int, size: int):
     total = sum(n for _, n, _ in base)
     if total < (least if len(pattern) == 1 else LONGER * least):
         return
@@ -167,179 +222,188 @@ def _grow_base(pattern: list[str], base: list, least: int, size: int):
         yield from _grow_base([*pattern, item], inner, least, size)
 
 
-def mine_rules(sentences_: DataFrame, least_documents: int = LEAST_DOCUMENTS, support: float = LEAST_SUPPORT, size: int = PATTERN) -> DataFrame:
-    """(items, total, subject, weight) of the frequent patterns of informative items that name a subject."""
-    least = max(least_documents, ceil(support * sentences_.count()))
-    base = sentences_.select(F.explode("subjects").alias("subject", "share")).groupBy("subject").agg(F.sum("share").alias("of_all"))
-    every = sentences_.agg(F.count(F.lit(1)).alias("sentences"))
-    exploded = sentences_.select("doc_id", "subjects", F.explode("items").alias("item"))
+def informative_items(sentences: DataFrame, least_documents: int, least: int) -> DataFrame:
+    """(item, total) of the frequent items that tell subjects apart: the ranked list of the growth."""
+    base = sentences.select(F.explode("subjects").alias("subject", "share")).groupBy("subject").agg(F.sum("share").alias("of_all"))
+    every = sentences.agg(F.count(F.lit(1)).alias("sentences"))
+    exploded = sentences.select("doc_id", "subjects", F.explode("items").alias("item"))
     frequent = exploded.groupBy("item").agg(F.count(F.lit(1)).alias("total"), F.countDistinct("doc_id").alias("docs"))
     frequent = frequent.where((F.col("docs") >= least_documents) & (F.col("total") >= least))
     by_subject = exploded.select("item", F.explode("subjects").alias("subject", "share")).groupBy("item", "subject").agg(F.sum("share").alias("weight"))
-    lifted = by_subject.join(frequent, "item").join(base, "subject").crossJoin(every)
+    lifted = by_subject.join(frequent, "item").join(F.broadcast(base), "subject").crossJoin(F.broadcast(every))  # one row for each subject, and one row
     lift = (F.col("weight") / F.col("total")) / (F.col("of_all") / F.col("sentences"))
     named = F.col("weight") / F.col("total") >= LEAST_CONFIDENCE - LONGER_GAIN
-    lifted = cut(lifted.where((lift >= LEAST_LIFT) | named).select("item", "total", "subject", "weight"))
-    calibrated = F.least((F.col("weight") + PRIOR / 12) / (F.col("total") + PRIOR), F.lit(MOST_SURE))
-    best = lifted.groupBy("item").agg(F.max(calibrated).alias("sure"), F.first("total").alias("total"))
-    # No longer pattern can add LONGER_GAIN to an item that is sure by itself: it stays out of the trees.
-    unsure = best.where(F.col("sure") < MOST_SURE - LONGER_GAIN)
-    order = {r["item"]: (-r["total"], r["item"]) for r in unsure.collect()}  # bounded: items of a bounded sample
-    single = lifted.where(calibrated >= LEAST_CONFIDENCE - LONGER_GAIN)
-    single = single.select(F.array("item").alias("items"), F.col("total").cast("double").alias("total"), "subject", "weight")
-    out = "items array<string>, total double, subject string, weight double"
+    return lifted.where((lift >= LEAST_LIFT) | named).groupBy("item").agg(F.first("total").alias("total"))
+
+
+def mine_rules(sentences: DataFrame, least_documents: int = LEAST_DOCUMENTS, support: float = LEAST_SUPPORT, size: int = PATTERN) -> DataFrame:
+    """(items, total, subject, weight) of the frequent patterns of informative items that may name a subject."""
+    least = max(least_documents, ceil(support * sentences.count()))
+    found = informative_items(sentences, least_documents, least).collect()  # bounded: items of a bounded sample
+    order = {r["item"]: k for k, r in enumerate(sorted(found, key=lambda r: (-r["total"], r["item"])))}
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for items, subjects in zip(frame["items"], frame["subjects"]):
-                ranked = sorted((i for i in items if i in order), key=order.__getitem__)
-                last: dict[int, int] = {}
-                for k, item in enumerate(ranked):
-                    last[_group(item)] = k
+                ranked = sorted((i for i in items.tolist() if i in order), key=order.__getitem__)
+                last = {i % GROUPS: k for k, i in enumerate(ranked)}
                 rows += [(group, ranked[: k + 1], subjects) for group, k in last.items()]
             yield pd.DataFrame(rows, columns=["grp", "items", "subjects"])
 
     def grow(frame: pd.DataFrame) -> pd.DataFrame:
         tree, group = PatternTree(), int(frame["grp"].iloc[0])
         for items, subjects in zip(frame["items"], frame["subjects"]):
-            tree.add(list(items), dict(subjects))
+            tree.add(items.tolist(), dict(subjects))
         rows = [
             (sorted(pattern), total, subject, weight)
-            for item in [i for i in tree.where if _group(i) == group]
-            for pattern, total, weights in tree.grow(item, least, size)
+            for suffix in [i for i in tree.where if i % GROUPS == group]
+            for pattern, total, weights in tree.grow(suffix, least, size)
             for subject, weight in weights.items()
-            if len(pattern) > 1 and _calibrated(weight, total) >= LONGER_CONFIDENCE
+            if _sure(weight, total) >= (LONGER_CONFIDENCE if len(pattern) > 1 else LEAST_CONFIDENCE - LONGER_GAIN)
         ]
         return pd.DataFrame(rows, columns=["items", "total", "subject", "weight"])
 
-    dealt = sentences_.select("items", "subjects").mapInPandas(deal, "grp int, items array<string>, subjects map<string,double>")
-    return single.unionByName(dealt.groupBy("grp").applyInPandas(grow, out))
+    dealt = sentences.select("items", "subjects").mapInPandas(deal, "grp int, items array<bigint>, subjects map<string,double>")
+    return dealt.groupBy("grp").applyInPandas(grow, "items array<bigint>, total double, subject string, weight double")
 
 
-def _group(item: str) -> int:
-    return sum(item.encode()) % GROUPS
+def _sure(weight: float, total: float) -> float:
+    """Confidence drawn towards an even chance of twelve subjects by PRIOR sentences."""
+    return min((weight + PRIOR / 12) / (total + PRIOR), MOST_SURE)
 
 
-def _calibrated(weight: float, total: float) -> float:
-    """Confidence drawn towards an even chance of the subjects by PRIOR sentences."""
-    return min((weight + PRIOR / 12) / (total + PRIOR), MOST_SURE)
+Rules = dict[tuple[int, ...], tuple[str, float]]
 
 
-def kept_rules(mined: list) -> dict[tuple[str, ...], tuple[str, float]]:
-    """pattern -> (subject, calibrated confidence), without redundant rules."""
-    best: dict[tuple[str, ...], tuple[str, float]] = {}
+def kept_rules(mined: list) -> Rules:
+    """pattern -> (subject, confidence), without redundant rules."""
+    best: Rules = {}
     for items, total, subject, weight in mined:
-        sure = _calibrated(weight, total)
+        sure = _sure(weight, total)
         if (sure, subject) > best.get(tuple(items), ("", 0.0))[::-1]:
             best[tuple(items)] = (subject, sure)
     out = {}
     for items, (subject, sure) in best.items():
         if subject == "none" or sure < (LEAST_CONFIDENCE if len(items) == 1 else LONGER_CONFIDENCE):
             continue
-        if len(items) > 1:
-            words = [w for item in items for w in item.split()]
-            shorter = [best.get((item,)) for item in items]
-            if len(set(words)) < len(words) or any(s and s[0] == subject and s[1] >= sure - LONGER_GAIN for s in shorter):
-                continue
-        out[items] = (subject, sure)
+        shorter = [best.get(part) for n in range(1, len(items)) for part in combinations(items, n)]
+        if not any(s and s[0] == subject and s[1] >= sure - LONGER_GAIN for s in shorter):
+            out[items] = (subject, sure)
     return out
 
 
-class _Evidence(dict):
-    """(word before, word) -> subject and log odds of its rules, and the rest: other subjects, items of longer rules; None without any."""
-
-    def __init__(self, single: dict, paired: set, triggers: dict):
-        super().__init__()
-        self.single, self.paired, self.triggers, self.folded = single, paired, triggers, {}
-
-    def __missing__(self, key: tuple[str, str]):
-        if len(self) > 500_000:
-            self.clear()
-            self.folded.clear()
-        codes = []
-        for word in key:
-            if word not in self.folded:
-                self.folded[word] = "" if word.isdigit() else fold(word)
-            codes.append(self.folded[word])
-        before, code = codes
-        items = [] if not code else [code, f"{before} {code}"] if before else [code]
-        odds: dict[str, float] = {}
-        for subject, more in (self.single[i] for i in items if i in self.single):
-            odds[subject] = odds.get(subject, 0.0) + more
-        marks = [i for i in items if i in self.paired]
-        if not odds and not marks:
-            found = None
-        else:
-            hits = list(odds.items()) or [("", 0.0)]
-            found = (*hits[0], (hits[1:], marks, [i for i in marks if i in self.triggers]) if marks or hits[1:] else None)
-        self[key] = found
-        return found
+class Scorer:
+    """Subjects of texts by the evidence of their sentences' matching rules."""
+
+    def __init__(self, rules: Rules):
+        self.rules = sorted(rules.items(), key=lambda rule: (rule[0][-1], rule))
+        self.subjects = sorted({s for _, (s, _) in self.rules}, reverse=True)  # of equal evidence, the first counts
+        self.subject = np.array([self.subjects.index(s) for _, (s, _) in self.rules], dtype=np.int64)
+        self.odds = np.array([log(c / (1 - c)) for _, (_, c) in self.rules])
+        self.items = np.unique(np.array([i for p, _ in self.rules for i in p], dtype=np.int64))
+        # A rule is looked for where its last item occurs; the others must stand in the same sentence.
+        self.last = np.searchsorted(self.items, np.array([p[-1] for p, _ in self.rules], dtype=np.int64))
+        self.first = np.searchsorted(self.last, np.arange(len(self.items)))
+        self.number = np.bincount(self.last, minlength=len(self.items))
+        self.others = np.full((len(self.rules), PATTERN - 1), -1, dtype=np.int64)
+        for k, (pattern, _) in enumerate(self.rules):
+            self.others[k, : len(pattern) - 1] = np.searchsorted(self.items, np.array(pattern[:-1], dtype=np.int64))
+
+    def matches(self, made: Sentences) -> tuple[np.ndarray, np.ndarray]:
+        """(sentence, rule) of each occurrence of a rule of one item, and of each sentence with a longer rule."""
+        at, items = made.items()
+        place = np.searchsorted(self.items, items)
+        known = self.items[np.minimum(place, len(self.items) - 1)] == items if len(self.items) else np.zeros(len(items), bool)
+        at, place = at[known], place[known]
+        number = self.number[place]
+        rule = np.repeat(self.first[place] - np.cumsum(number) + number, number) + np.arange(number.sum())
+        rows = np.repeat(at, number)
+        single = self.others[rule, 0] < 0
+        found_at, found = [rows[single]], [rule[single]]
+        if not single.all():
+            held = np.unique(at * len(self.items) + place)
+            longer = np.unique(rows[~single] * len(self.rules) + rule[~single])
+            rows, rule = longer // len(self.rules), longer % len(self.rules)
+            good = np.ones(len(rule), bool)
+            for other in self.others[rule].T:
+                wanted = rows * len(self.items) + other
+                good &= (other < 0) | (held[np.minimum(np.searchsorted(held, wanted), len(held) - 1)] == wanted)
+            found_at, found = [*found_at, rows[good]], [*found, rule[good]]
+        return np.concatenate(found_at), np.concatenate(found)
+
+    def texts(self, texts: list[str | None], share: float = SHARE) -> tuple[np.ndarray, list[str]]:
+        """(place of the text, subject) of each subject that at least ``share`` of a text's sentences deal with."""
+        made, width = Sentences(texts), len(self.subjects)
+        if not width or not len(made.text):
+            return np.empty(0, np.int64), []
+        at, rule = self.matches(made)
+        evidence = np.bincount(at * width + self.subject[rule], self.odds[rule], len(made.text) * width).reshape(-1, width)
+        evidence = np.round(evidence, 9)
+        best = evidence.argmax(axis=1)
+        sure = evidence[np.arange(len(best)), best] > EVIDENCE
+        counts = np.bincount(made.text[sure] * width + best[sure], minlength=len(texts) * width).reshape(-1, width)
+        sentences = np.bincount(made.text, minlength=len(texts))
+        text, subject = np.nonzero((counts > 0) & (counts >= share * sentences[:, None]))
+        return text, [self.subjects[k] for k in subject]
+
+
+def calibrated(rules: Rules, held: DataFrame) -> Rules:
+    """The rules with the confidence that the sentences kept for calibration (items, subjects) give them; the mined one counts as TRUST sentences.
+
+    Rules that turn out to be no better than an even choice between naming the subject and not are dropped.
+    """
+    patterns = sorted(rules)
+    by_item: dict[int, list[int]] = defaultdict(list)
+    for k, pattern in enumerate(patterns):
+        by_item[pattern[-1]].append(k)
+    subjects = [rules[p][0] for p in patterns]
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, weight = np.zeros(len(patterns)), np.zeros(len(patterns))
+        for frame in frames:
+            for items, shares in zip(frame["items"], frame["subjects"]):
+                items, shares = items.tolist(), dict(shares)
+                present = set(items)
+                for k in (k for i in items for k in by_item.get(i, ())):
+                    if present.issuperset(patterns[k]):
+                        total[k] += 1
+                        weight[k] += shares.get(subjects[k], 0.0)
+        met = np.flatnonzero(total)
+        yield pd.DataFrame({"rule": met, "total": total[met], "weight": weight[met]})
+
+    counted = held.select("items", "subjects").mapInPandas(run, "rule long, total double, weight double").groupBy("rule").agg(F.sum("total").alias("total"), F.sum("weight").alias("weight"))
+    seen = {r["rule"]: (r["weight"], r["total"]) for r in counted.collect()}  # bounded by the rules
+    out = {}
+    for k, pattern in enumerate(patterns):
+        subject, sure = rules[pattern]
+        weight, total = seen.get(k, (0.0, 0.0))
+        sure = min((weight + TRUST * sure) / (total + TRUST), MOST_SURE)
+        if sure > 0.5:
+            out[pattern] = (subject, sure)
+    return out
 
-class Scorer:
-    """Subjects of a text by the evidence of its sentences' matching rules."""
-
-    def __init__(self, rules: dict[tuple[str, ...], tuple[str, float]]):
-        single = {p[0]: (s, log(c / (1 - c))) for p, (s, c) in rules.items() if len(p) == 1}
-        # A rule of two items is looked for where its longer item, the rarer one as a rule, occurs.
-        self.longer: dict[str, dict[str, tuple[str, float]]] = defaultdict(dict)
-        for pattern, (s, c) in rules.items():
-            if len(pattern) == 2:
-                other, trigger = sorted(pattern, key=len)
-                self.longer[trigger][other] = (s, log(c / (1 - c)))
-        self.evidence = _Evidence(single, {i for t, others in self.longer.items() for i in (t, *others)}, self.longer)
-
-    def sentence(self, words: list[str]) -> str | None:
-        evidence: dict[str, float] = {}
-        marked: list[str] = []
-        triggers: list[str] = []
-        for subject, odds, rest in filter(None, map(self.evidence.__getitem__, zip(["", *words], words))):
-            evidence[subject] = evidence.get(subject, 0.0) + odds
-            if rest:
-                for other, more in rest[0]:
-                    evidence[other] = evidence.get(other, 0.0) + more
-                marked += rest[1]
-                triggers += rest[2]
-        evidence.pop("", None)
-        if triggers and len(marked) > 1:
-            present = set(marked)
-            for trigger in set(triggers):
-                others = self.longer[trigger]
-                for other in others.keys() & present:
-                    subject, odds = others[other]
-                    evidence[subject] = evidence.get(subject, 0.0) + odds
-        if not evidence:
-            return None
-        subject = next(iter(evidence)) if len(evidence) == 1 else max(evidence, key=lambda s: (evidence[s], s))
-        return subject if evidence[subject] > EVIDENCE else None
-
-    def text(self, text: str | None, share: float = SHARE) -> list[str]:
-        parts = sentences(text)
-        counts: dict[str, int] = {}
-        for words in parts:
-            subject = self.sentence(words)
-            if subject:
-                counts[subject] = counts.get(subject, 0) + 1
-        return sorted(s for s, n in counts.items() if n >= share * len(parts))
-
-
-def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, limit: int = LABELLED_DOCUMENTS) -> dict[tuple[str, ...], tuple[str, float]]:
-    """The rules mined from the labelled documents."""
+
+def fit(documents: DataFrame, labels: DataFrame, subjects: DataFrame, limit: int = LABELLED_DOCUMENTS, size: int = PATTERN) -> Rules:
+    """The rules mined from the labelled documents, calibrated on those kept out."""
     wanted = cut(clean_labels(labels, subjects, limit))
     labelled = documents.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # at most ``limit`` rows
-    rows = mine_rules(cut(transactions(labelled))).collect()  # bounded by the sample's bound
-    return kept_rules([(r["items"], r["total"], r["subject"], r["weight"]) for r in rows])
+    sentences = cut(transactions(labelled))
+    rows = mine_rules(sentences.where("NOT held"), size=size).collect()  # bounded by the sample's bound
+    rules = kept_rules([(r["items"], r["total"], r["subject"], r["weight"]) for r in rows])
+    return calibrated(rules, sentences.where("held"))
 
 
-def assign_subjects(documents: DataFrame, rules: dict[tuple[str, ...], tuple[str, float]], share: float = SHARE) -> DataFrame:
+def assign_subjects(documents: DataFrame, rules: Rules, share: float = SHARE) -> DataFrame:
     """(doc_id, subject): each subject that at least ``share`` of a document's sentences deal with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(rules)
-        for batch in batches:
-            rows = [(d, s) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s in scorer.text(t, share)]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.string())], names=["doc_id", "subject"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(start, SLICE)
+                text, subject = scorer.texts(batch.column(1).to_pylist(), share)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(subject, pa.string())], names=["doc_id", "subject"])
 
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, subject string")
 

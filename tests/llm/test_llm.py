@@ -357,22 +357,38 @@ def test_containers(spark):
 # --- Problem 9
 
 
+def sentences(*texts):
+    """The number of words of each sentence, by text."""
+    made = subjects.Sentences(list(texts))
+    out = [[] for _ in texts]
+    for text, n in zip(made.text, np.bincount(made.sentence, minlength=len(made.text))):
+        out[text].append(int(n))
+    return out
+
+
 def test_sentences():
-    assert len(subjects.sentences("1)\tMột hai ba.\r\n2)\tBốn năm sáu bảy.")) == 2
-    assert len(subjects.sentences("<p>Một hai ba.</p>\n<p>Bốn năm sáu.</p>")) == 2
-    assert subjects.sentences("| Điều 1. Một hai | ba bốn |") == [["một", "hai", "ba", "bốn"]]
-    assert subjects.sentences(None) == subjects.sentences("  ") == []
-    assert len(subjects.sentences("Tại TP. khác và v.v. nữa. Câu hai có đây.")) == 2
+    assert sentences("1)\tMột hai ba.\r\n2)\tBốn năm sáu bảy.") == [[3, 4]]
+    assert sentences("<p>Một hai ba.</p>\n<p>Bốn năm sáu.</p>") == [[3, 3]]
+    assert sentences("| Điều 1. Một hai | ba bốn |") == [[4]]
+    assert sentences(None, "  ", "", "một hai", "một hai ba") == [[], [], [], [], [3]]
+    assert sentences("Tại TP. khác và v.v. nữa. Câu hai có đây.") == [[7, 4]]
+    assert sentences() == []
+
+
+def test_items_ignore_accents_case_and_numbers():
+    made = subjects.Sentences(["Hợp ĐỒNG 12 lao động."])
+    assert set(made.items()[1].tolist()) == {subjects.item(t) for t in ("hop", "dong", "lao", "hop dong", "lao dong")} - ({subjects.item("dong lao")})
+    assert subjects.item("Đất") == subjects.item("dat") and subjects.item("đất đai") == subjects.item("DAT dai") != subjects.item("dai dat")
 
 
 def test_tree_counts_equal_brute_force():
     rng = random.Random(4)
-    data = [(sorted(rng.sample("abcdef", rng.randint(1, 5))), {rng.choice("xy"): 1.0}) for _ in range(200)]
+    data = [(sorted(rng.sample(range(1, 7), rng.randint(1, 5))), {rng.choice("xy"): 1.0}) for _ in range(200)]
     tree = subjects.PatternTree()
     for items, weights in data:
         tree.add(items, weights)
-    for suffix in "abcdef":
-        for pattern, total, weights in tree.grow(suffix, 1, 2):
+    for suffix in range(1, 7):
+        for pattern, total, weights in tree.grow(suffix, 1, 3):
             inside = [w for items, w in data if set(pattern) <= set(items)]
             assert total == len(inside) and weights.get("x", 0) == sum("x" in w for w in inside)
 
@@ -402,5 +418,37 @@ def test_subjects_held_out(spark):
 
 
 def test_redundant_rules_are_dropped():
-    mined = [(["a"], 100.0, "law", 95.0), (["a", "b"], 50.0, "law", 49.0), (["c"], 100.0, "law", 50.0), (["c", "d"], 60.0, "law", 60.0), (["e"], 100.0, "none", 100.0), (["f"], 100.0, "law", 40.0)]
-    assert set(subjects.kept_rules(mined)) == {("a",), ("c", "d")}
+    mined = [((1,), 100.0, "law", 95.0), ((1, 2), 50.0, "law", 49.0), ((3,), 100.0, "law", 50.0), ((3, 4), 60.0, "law", 60.0), ((5,), 100.0, "none", 100.0), ((6,), 100.0, "law", 40.0)]
+    mined += [((1, 7), 60.0, "land", 60.0), ((3, 4, 6), 60.0, "law", 60.0)]
+    # A longer rule for another subject is not redundant.
+    assert set(subjects.kept_rules(mined)) == {(1,), (3, 4), (1, 7)}
+
+
+def test_longer_rules_need_all_their_items():
+    a, b, c = (subjects.item(t) for t in ("sao", "kiem", "dat"))
+    rules = {tuple(sorted((a, b, c))): ("law", 0.95), tuple(sorted((a, b))): ("land", 0.8)}
+    scorer = subjects.Scorer(rules)
+    text, found = scorer.texts(["Sao rồi kiểm và đất", "sao đó kiểm gì", "kiểm tra đất", None, "sao. Kiểm. Đất"])
+    assert list(zip(text.tolist(), found)) == [(0, "law"), (1, "land")]
+
+
+def test_scorer_equals_brute_force():
+    rng = random.Random(8)
+    words = [f"w{chr(97 + k)}" for k in range(12)]
+    codes = {w: subjects.item(w) for w in words}
+    rules = {tuple(sorted(codes[w] for w in rng.sample(words, rng.randint(1, 3)))): (rng.choice("xyz"), rng.choice((0.6, 0.8, 0.95))) for _ in range(25)}
+    texts = [". ".join(" ".join(rng.choices(words, k=rng.randint(3, 7))).capitalize() for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    expected = []
+    for t, text in enumerate(texts):
+        parts, counts = text.lower().split(". "), Counter()
+        for part in parts:
+            here, evidence = [codes[w] for w in part.split()], Counter()
+            for pattern, (subject, sure) in rules.items():
+                times = here.count(pattern[0]) if len(pattern) == 1 else int(set(pattern) <= set(here))
+                evidence[subject] += times * math.log(sure / (1 - sure))
+            best = max(evidence, key=lambda s: (round(evidence[s], 9), s))
+            if evidence[best] > subjects.EVIDENCE:
+                counts[best] += 1
+        expected += [(t, s) for s, n in counts.items() if n >= 0.2 * len(parts)]
+    text, found = subjects.Scorer(rules).texts(texts)
+    assert sorted(zip(text.tolist(), found)) == sorted(expected)
