@@ -127,25 +127,60 @@ def _tools():
     return single, has_mixed, word, unsafe, word_form
 
 
-def is_plain(text: str) -> bool:
-    """Whether no character of ``text`` can need work; a fast test by table."""
+def _unsafe_places(text: str) -> np.ndarray:
+    """Places of the characters of ``text`` that may need work; a fast test by table."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    return not unsafe_table()[np.minimum(codes, 0xFFFF)].any()
+    return np.flatnonzero(unsafe_table()[np.minimum(codes, 0xFFFF)])
 
 
-def consistent_form(text: str | None) -> str | None:
-    """The consistent form of one text; null stays null, an empty text empty."""
-    if not text:
-        return text
-    single, has_mixed, word, unsafe, word_form = _tools()
-    if is_plain(text) if len(text) > 100 else not unsafe.search(text):
-        return text
+def is_plain(text: str) -> bool:
+    """Whether no character of ``text`` can need work."""
+    return not len(_unsafe_places(text))
+
+
+def _whole_form(text: str) -> str:
+    single, has_mixed, word, _, word_form = _tools()
     text = text.translate(single)
     if has_mixed.search(text):
         text = word.sub(word_form, text)
     return unicodedata.normalize("NFC", text)
 
 
+def _form_around(text: str, places: list[int]) -> str:
+    """The form of ``text``, worked out only for the runs between blanks that hold one of the ``places``; nothing composes across a blank."""
+    out, done = [], 0
+    for place in places:
+        if place >= done:
+            start = max(done, text.rfind(" ", done, place) + 1)
+            stop = text.find(" ", place)
+            stop = len(text) if stop < 0 else stop
+            out += [text[done:start], _whole_form(text[start:stop])]
+            done = stop
+    return "".join([*out, text[done:]])
+
+
+def consistent_form(text: str | None) -> str | None:
+    """The consistent form of one text; null stays null, an empty text empty."""
+    if not text:
+        return text
+    if len(text) <= 100:
+        return _whole_form(text) if _tools()[3].search(text) else text
+    places = _unsafe_places(text)
+    return _form_around(text, places.tolist()) if len(places) else text
+
+
+def consistent_forms(texts: list[str | None]) -> list[str | None]:
+    """``consistent_form`` of each text, with one test for all."""
+    known = [t or "" for t in texts]
+    places, out = _unsafe_places("\n".join(known)), list(texts)
+    starts = np.cumsum([0, *(len(t) + 1 for t in known)])
+    owners = np.searchsorted(starts, places, side="right") - 1
+    for owner in np.unique(owners).tolist():
+        mine = places[np.searchsorted(owners, owner) : np.searchsorted(owners, owner, side="right")]
+        out[owner] = _form_around(known[owner], (mine - starts[owner]).tolist())
+    return out
+
+
 def number_key(number: str | None) -> str | None:
     """The key under which two written document numbers are the same number; blank gives ''."""
     if number is None:

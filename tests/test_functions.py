@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from dossier.functions import text as X
+from dossier.functions import textform
 from dossier.functions.textform import consistent_form, is_plain, number_key
 from dossier.plans.settings import Expansion, Settings
 
@@ -120,3 +121,14 @@ def test_settings(tmp_path):
     with pytest.raises(ValueError):
         Settings(chunk_overlap=5000)
     assert Expansion(mode="M0").kinds == [] and "CITES" in Expansion(mode="M2").kinds and not Expansion(mode="M3").structural
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="ab іоạ́̂\u200b\u00a0１Ⅱ\n가\u1100\u1161ΑL\ud800é😀", max_size=160), max_size=4))
+def test_forms_around_odd_characters_equal_whole_forms(texts):
+    expected = [textform._whole_form(t) for t in texts]
+    assert [textform.consistent_form(t) for t in texts] == expected == textform.consistent_forms(texts)
+
+
+def test_forms_of_lists():
+    assert textform.consistent_forms([]) == [] and textform.consistent_forms([None, "", "ａ"]) == [None, "", "a"]
