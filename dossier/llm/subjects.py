@@ -39,12 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.functions.textform import consistent_form
+from dossier.functions.textform import consistent_forms
 from dossier.llm.neardup import _mix, _word_table, word_hashes
 from dossier.plans.shared import cut, table
 
 #: Most labelled documents that the rules are fitted on, and which share of them (1/FOLD) calibrates.
-LABELLED_DOCUMENTS, FOLD = 8_000, 5
+LABELLED_DOCUMENTS, FOLD = 8_000, 10
 #: Least documents, and share of the labelled sentences, that hold a rule's pattern; a longer pattern needs LONGER times as many.
 LEAST_DOCUMENTS, LEAST_SUPPORT, LONGER = 3, 0.0004, 3
 #: Least confidence of a rule, of a longer one, what a longer one must add, and the most items.
@@ -60,11 +60,10 @@ GROUPS = 24
 EVIDENCE = 1.0
 SHARE = 0.2
 LEAST_WORDS = 3
-#: Texts that are read as one array.
-SLICE = 512
+#: Texts that are read as one array; size of the table that most words without a rule are sifted out by.
+SLICE, KNOWN_BITS = 512, 1 << 20
 
 MARKUP = re.compile(r"</?[a-z]+[^<>]*>")
-BREAK = re.compile(r"[.?!]\s+(?=[^\W\d_a-zà-ỹđ])|[\r\n]+")
 LEAD = re.compile(r"(?i)(?:\s|\|)*(?:(?:điều|dieu|mục|muc|khoản|khoan|article|section)\s+\d+\s*[.:]|\d+\s*[.)]|[-*•+–]|(?:hỏi|đáp|hoi|dap|q|a|question|answer)\s*:)?")
 
 
@@ -84,9 +83,32 @@ def _folded_table() -> np.ndarray:
     return table
 
 
+#: Kinds of characters: digits, white space, ends of sentences, ends of lines, and letters that may begin a sentence.
+DIGIT, SPACE, END, LINE, CAPITAL = 1, 2, 4, 8, 16
+
+
 @lru_cache(maxsize=1)
-def _digit_table() -> np.ndarray:
-    return np.fromiter((chr(c).isdigit() for c in range(0x10000)), dtype=bool, count=0x10000)
+def _kind_table() -> np.ndarray:
+    """For each BMP code point its kinds; a sentence begins with a letter that isn't a small one of Latin or Vietnamese."""
+    table = np.zeros(0x10000, dtype=np.uint8)
+    for code in range(0x10000):
+        ch = chr(code)
+        small = "a" <= ch <= "z" or "à" <= ch <= "ỹ"
+        table[code] = DIGIT * ch.isdigit() + SPACE * ch.isspace() + END * (ch in ".?!") + LINE * (ch in "\r\n") + CAPITAL * (ch.isalnum() and not ch.isdecimal() and not small)
+    return table
+
+
+def _sentence_starts(kinds: np.ndarray) -> np.ndarray:
+    """Places where sentences may begin: behind line ends, and at capitals behind an end of a sentence and a blank."""
+    if not len(kinds):
+        return np.zeros(1, dtype=np.int64)
+    lines = np.flatnonzero(kinds & LINE) + 1
+    ends = np.flatnonzero(kinds & END)
+    ends = ends[(ends + 1 < len(kinds)) & ((kinds[np.minimum(ends + 1, len(kinds) - 1)] & SPACE) > 0)]
+    filled = np.flatnonzero((kinds & SPACE) == 0)
+    after = np.searchsorted(filled, ends + 1)
+    after = filled[after[after < len(filled)]]
+    return np.unique(np.concatenate([[0], lines, after[(kinds[after] & CAPITAL) > 0]]))
 
 
 class Sentences:
@@ -96,23 +118,27 @@ class Sentences:
     """
 
     def __init__(self, texts: list[str | None]):
-        forms = [MARKUP.sub(" ", f) if "<" in f else f for f in (consistent_form(t) or "" for t in texts)]
+        forms = [MARKUP.sub(" ", f) if "<" in f else f for f in (f or "" for f in consistent_forms(texts))]
         joined = "\n".join(forms)
         codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         small = np.minimum(codes, 0xFFFF)
-        inside, digit = _word_table()[small], _digit_table()[small]
+        inside, kinds = _word_table()[small], _kind_table()[small]
         for k in np.flatnonzero(codes > 0xFFFF):
-            inside[k], digit[k] = chr(codes[k]).isalnum(), chr(codes[k]).isdigit()
+            inside[k] = chr(codes[k]).isalnum()
+            kinds[k] = DIGIT * chr(codes[k]).isdigit() + CAPITAL * inside[k]
         starts, ends, words = word_hashes(np.where(codes > 0xFFFF, codes, _folded_table()[small]), inside)
-        digits = np.concatenate([[0], np.cumsum(digit)])
+        digits = np.concatenate([[0], np.cumsum(kinds & DIGIT, dtype=np.int64)])
         number = digits[ends] - digits[starts] == ends - starts
-        opens = [0, *(m.end() for m in BREAK.finditer(joined))]
-        bodies = np.array([LEAD.match(joined, k).end() for k in opens])
-        opens = np.array(opens)
+        opens = _sentence_starts(kinds)
         sentence = np.searchsorted(opens, starts, side="right") - 1
+        bodies = np.zeros(len(opens), dtype=np.int64)
+        for k in np.unique(sentence).tolist():
+            bodies[k] = LEAD.match(joined, opens[k]).end()
         kept = starts >= bodies[sentence]
-        kept &= np.bincount(sentence[kept], minlength=len(opens))[sentence] >= LEAST_WORDS
-        used, self.sentence = np.unique(sentence[kept], return_inverse=True)
+        long = np.bincount(sentence[kept], minlength=len(opens)) >= LEAST_WORDS
+        kept &= long[sentence]
+        used = np.flatnonzero(long)
+        self.sentence = (np.cumsum(long) - 1)[sentence[kept]]
         self.words, self.number = words[kept], number[kept]
         stops = np.cumsum([len(f) + 1 for f in forms])
         self.text = np.searchsorted(stops, opens[used], side="right")
@@ -170,56 +196,67 @@ class PatternTree:
 
     def __init__(self):
         self.children: dict[tuple[int, int], int] = {}
-        self.parent, self.item, self.total = [-1], [0], [0.0]
-        self.subjects: list[dict[str, float]] = [defaultdict(float)]
+        self.paths: list[tuple[int, ...]] = [()]
         self.where: dict[int, list[int]] = defaultdict(list)
+        self.subjects: dict[str, int] = {}
+        self.visits: list[int] = []
+        self.visitors: list[tuple[int, dict[str, float]]] = []
+        self.weights: np.ndarray | None = None
 
     def add(self, items: list[int], subjects: dict[str, float]) -> None:
-        node = 0
+        """One sentence; ``items`` in the order of their ranks."""
+        node, self.weights = 0, None
         for item in items:
             child = self.children.get((node, item))
             if child is None:
-                child = self.children[(node, item)] = len(self.parent)
-                self.parent.append(node)
-                self.item.append(item)
-                self.total.append(0.0)
-                self.subjects.append(defaultdict(float))
+                child = self.children[(node, item)] = len(self.paths)
+                self.paths.append((*self.paths[node], item))
                 self.where[item].append(child)
             node = child
-            self.total[node] += 1
-            for subject, weight in subjects.items():
-                self.subjects[node][subject] += weight
-
-    def grow(self, suffix: int, least: int, size: int):
-        """(pattern, sentences, subject weights) of all patterns that end with ``suffix``."""
-        base = []
-        for node in self.where.get(suffix, ()):
-            path, at = [], self.parent[node]
-            while at:
-                path.append(self.item[at])
-                at = self.parent[at]
-            base.append((path[::-1], self.total[node], self.subjects[node]))
-        yield from _grow_base([suffix], base, least, size)
-
-
-def _grow_base(pattern: list[int], base: list, least: int, size: int):
-    total = sum(n for _, n, _ in base)
-    if total < (least if len(pattern) == 1 else LONGER * least):
-        return
-    weights: dict[str, float] = defaultdict(float)
-    for _, _, subjects in base:
-        for subject, weight in subjects.items():
-            weights[subject] += weight
-    yield pattern, total, dict(weights)
-    if len(pattern) >= size or total < LONGER * least:
-        return
-    conditional: dict[str, list] = defaultdict(list)
-    deeper = len(pattern) + 1 < size
-    for path, n, subjects in base:
-        for k, item in enumerate(path):
-            conditional[item].append((path[:k] if deeper else [], n, subjects))
-    for item, inner in conditional.items():
-        yield from _grow_base([*pattern, item], inner, least, size)
+            self.visits.append(node)
+        self.visitors.append((len(items), subjects))
+        for subject in subjects:
+            self.subjects.setdefault(subject, len(self.subjects))
+
+    def _counted(self) -> np.ndarray:
+        """For each node the weights of the subjects, and the number of sentences as the last column."""
+        if self.weights is None:
+            own = np.zeros((len(self.visitors), len(self.subjects) + 1))
+            own[:, -1] = 1
+            for k, (_, subjects) in enumerate(self.visitors):
+                for subject, weight in subjects.items():
+                    own[k, self.subjects[subject]] = weight
+            own = np.repeat(own, [n for n, _ in self.visitors], axis=0)
+            self.weights = np.stack([np.bincount(np.array(self.visits, dtype=np.int64), c, len(self.paths)) for c in own.T], axis=1)
+        return self.weights
+
+    def grow(self, suffix: int, least: int, size: int) -> Iterator[tuple[list[int], float, dict[str, float]]]:
+        """(pattern, sentences, subject weights) of all frequent patterns of at most ``size`` items that end with ``suffix``."""
+        nodes = self.where.get(suffix, [])
+        weights, paths = self._counted()[nodes], [self.paths[n][:-1] for n in nodes]
+        rows = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
+        flat = np.array([i for p in paths for i in p], dtype=np.int64)
+        total = float(weights[:, -1].sum())
+        names = list(self.subjects)
+        if total >= least:
+            yield [suffix], total, {n: w for n, w in zip(names, weights.sum(axis=0)) if w}
+            yield from self._longer([suffix], flat, rows, weights, LONGER * least, size, names)
+
+    def _longer(self, pattern: list[int], flat: np.ndarray, rows: np.ndarray, weights: np.ndarray, least: int, size: int, names: list[str]):
+        """The patterns with one item more and beyond; ``flat`` holds the items of the conditional paths, ``rows`` the path of each."""
+        if len(pattern) >= size or not len(flat) or weights[:, -1].sum() < least:
+            return
+        items, which = np.unique(flat, return_inverse=True)
+        sums = np.stack([np.bincount(which, c, len(items)) for c in weights[rows].T], axis=1)
+        for k in np.flatnonzero(sums[:, -1] >= least):
+            longer = [*pattern, int(items[k])]
+            yield longer, float(sums[k, -1]), {n: w for n, w in zip(names, sums[k]) if w}
+            if len(longer) < size:
+                ends = np.flatnonzero(which == k)
+                starts = np.searchsorted(rows, rows[ends])
+                number = ends - starts
+                places = np.repeat(starts - np.cumsum(number) + number, number) + np.arange(number.sum())
+                yield from self._longer(longer, flat[places], np.repeat(np.arange(len(ends)), number), weights[rows[ends]], least, size, names)
 
 
 def informative_items(sentences: DataFrame, least_documents: int, least: int) -> DataFrame:
@@ -237,7 +274,7 @@ def informative_items(sentences: DataFrame, least_documents: int, least: int) ->
 
 
 def mine_rules(sentences: DataFrame, least_documents: int = LEAST_DOCUMENTS, support: float = LEAST_SUPPORT, size: int = PATTERN) -> DataFrame:
-    """(items, total, subject, weight) of the frequent patterns of informative items that may name a subject."""
+    """(items, total, subject, weight) of the frequent patterns of informative items that may name a subject, the rarest item first."""
     least = max(least_documents, ceil(support * sentences.count()))
     found = informative_items(sentences, least_documents, least).collect()  # bounded: items of a bounded sample
     order = {r["item"]: k for k, r in enumerate(sorted(found, key=lambda r: (-r["total"], r["item"])))}
@@ -256,7 +293,7 @@ def mine_rules(sentences: DataFrame, least_documents: int = LEAST_DOCUMENTS, sup
         for items, subjects in zip(frame["items"], frame["subjects"]):
             tree.add(items.tolist(), dict(subjects))
         rows = [
-            (sorted(pattern), total, subject, weight)
+            (pattern, total, subject, weight)
             for suffix in [i for i in tree.where if i % GROUPS == group]
             for pattern, total, weights in tree.grow(suffix, least, size)
             for subject, weight in weights.items()
@@ -297,22 +334,27 @@ class Scorer:
     """Subjects of texts by the evidence of their sentences' matching rules."""
 
     def __init__(self, rules: Rules):
-        self.rules = sorted(rules.items(), key=lambda rule: (rule[0][-1], rule))
+        self.rules = sorted(rules.items(), key=lambda rule: (rule[0][0], rule))
         self.subjects = sorted({s for _, (s, _) in self.rules}, reverse=True)  # of equal evidence, the first counts
         self.subject = np.array([self.subjects.index(s) for _, (s, _) in self.rules], dtype=np.int64)
         self.odds = np.array([log(c / (1 - c)) for _, (_, c) in self.rules])
         self.items = np.unique(np.array([i for p, _ in self.rules for i in p], dtype=np.int64))
-        # A rule is looked for where its last item occurs; the others must stand in the same sentence.
-        self.last = np.searchsorted(self.items, np.array([p[-1] for p, _ in self.rules], dtype=np.int64))
-        self.first = np.searchsorted(self.last, np.arange(len(self.items)))
-        self.number = np.bincount(self.last, minlength=len(self.items))
-        self.others = np.full((len(self.rules), PATTERN - 1), -1, dtype=np.int64)
+        self.known = np.zeros(KNOWN_BITS, dtype=bool)
+        self.known[self.items & (KNOWN_BITS - 1)] = True
+        # A rule is looked for where its first item occurs, the rarest; the others must stand in the same sentence.
+        lead = np.searchsorted(self.items, np.array([p[0] for p, _ in self.rules], dtype=np.int64))
+        self.first = np.searchsorted(lead, np.arange(len(self.items)))
+        self.number = np.bincount(lead, minlength=len(self.items))
+        self.others = np.full((len(self.rules), max([2, *(len(p) for p, _ in self.rules)]) - 1), -1, dtype=np.int64)
         for k, (pattern, _) in enumerate(self.rules):
-            self.others[k, : len(pattern) - 1] = np.searchsorted(self.items, np.array(pattern[:-1], dtype=np.int64))
+            self.others[k, : len(pattern) - 1] = np.searchsorted(self.items, np.array(pattern[1:], dtype=np.int64))
+        self.part = np.isin(np.arange(len(self.items)), self.others)
 
     def matches(self, made: Sentences) -> tuple[np.ndarray, np.ndarray]:
         """(sentence, rule) of each occurrence of a rule of one item, and of each sentence with a longer rule."""
         at, items = made.items()
+        maybe = self.known[items & (KNOWN_BITS - 1)]
+        at, items = at[maybe], items[maybe]
         place = np.searchsorted(self.items, items)
         known = self.items[np.minimum(place, len(self.items) - 1)] == items if len(self.items) else np.zeros(len(items), bool)
         at, place = at[known], place[known]
@@ -322,8 +364,9 @@ class Scorer:
         single = self.others[rule, 0] < 0
         found_at, found = [rows[single]], [rule[single]]
         if not single.all():
-            held = np.unique(at * len(self.items) + place)
             longer = np.unique(rows[~single] * len(self.rules) + rule[~single])
+            part = self.part[place]
+            held = np.unique(at[part] * len(self.items) + place[part])
             rows, rule = longer // len(self.rules), longer % len(self.rules)
             good = np.ones(len(rule), bool)
             for other in self.others[rule].T:
@@ -356,7 +399,7 @@ def calibrated(rules: Rules, held: DataFrame) -> Rules:
     patterns = sorted(rules)
     by_item: dict[int, list[int]] = defaultdict(list)
     for k, pattern in enumerate(patterns):
-        by_item[pattern[-1]].append(k)
+        by_item[pattern[0]].append(k)
     subjects = [rules[p][0] for p in patterns]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
