@@ -46,7 +46,12 @@ def shortlist(merged: DataFrame, number: int, explicit: str = "reference", entit
 
 
 def interleave(merged: DataFrame, limit: int, explicit: str = "explicit", order: str = "rank_score") -> DataFrame:
-    """Explicit and other pairs in turn, each undirected pair once, at most ``limit``."""
+    """Explicit and other pairs in turn, each undirected pair once, at most ``limit``.
+
+    A pair has at most two rows on each side, so the first ``2 * limit`` of each side are enough; they are found partition by partition.
+    """
+    rows = [F.desc(order), "source_id", "target_id"]
+    merged = merged.where(explicit).orderBy(*rows).limit(2 * limit).unionByName(merged.where(~F.col(explicit)).orderBy(*rows).limit(2 * limit))
     turn = F.row_number().over(W.partitionBy(explicit).orderBy(F.desc(order), "source_id", "target_id"))
     ordered = merged.withColumn("turn", turn)
     pair = F.sort_array(F.array("source_id", "target_id"))
@@ -80,7 +85,9 @@ def reference_candidates(mentions: DataFrame, owners: DataFrame) -> DataFrame:
 def entity_candidates(entities: DataFrame, per_entity: int, number: int) -> DataFrame:
     """Signal ``entity``: documents that share entities, ``per_entity`` targets each, counted after that cap, ``number`` a source."""
     left = entities.select(F.col("document_id").alias("source_id"), "etype", "entity_key").distinct()
-    right = entities.select(F.col("document_id").alias("target_id"), "etype", "entity_key").distinct()
+    # Targets are taken in the order of their ids: beyond one more than the cap none of an entity is ever taken.
+    first = F.row_number().over(W.partitionBy("etype", "entity_key").orderBy("target_id"))
+    right = entities.select(F.col("document_id").alias("target_id"), "etype", "entity_key").distinct().withColumn("n", first).where(F.col("n") <= per_entity + 1).drop("n")
     met = left.join(right, ["etype", "entity_key"]).where("source_id <> target_id")
     capped = met.withColumn("n", F.row_number().over(W.partitionBy("source_id", "etype", "entity_key").orderBy("target_id"))).where(F.col("n") <= per_entity)
     overlap = capped.groupBy("source_id", "target_id").agg(F.countDistinct("etype", "entity_key").cast("double").alias("score"))

@@ -68,6 +68,37 @@ def subset_means(scores: DataFrame, subsets: dict[str, Column], mode: str = "mod
     return out
 
 
+def law_recall(ranked: DataFrame, gold: DataFrame, laws: DataFrame, total: bool = True) -> DataFrame:
+    """(mode, qid, law_hit, laws_missing, recall) of rankings (mode, qid, item) on the level of laws (item, law_id).
+
+    With ``total``, a gold item without a law is an error; an item of a ranking without one counts for no law.
+    """
+    wanted = gold.select("qid", "item").distinct().join(laws.select("item", "law_id").distinct(), "item", "left")
+    if total:
+        wanted = wanted.withColumn("law_id", F.coalesce("law_id", F.raise_error(F.concat(F.lit("no law for "), F.col("item").cast("string")))))
+    wanted = wanted.select("qid", "law_id").distinct()
+    found = ranked.join(laws.select("item", "law_id").distinct(), "item").select("mode", "qid", "law_id", F.lit(1).alias("met")).distinct()
+    each = ranked.select("mode", "qid").distinct().join(wanted, "qid").join(found, ["mode", "qid", "law_id"], "left")
+    out = each.groupBy("mode", "qid").agg(F.count("met").alias("hits"), F.count(F.lit(1)).alias("laws"))
+    return out.select("mode", "qid", (F.col("hits") > 0).alias("law_hit"), (F.col("laws") - F.col("hits")).alias("laws_missing"), (F.col("hits") / F.col("laws")).alias("recall"))
+
+
+def miss_stages(gold: DataFrame, indexed: DataFrame, candidates: DataFrame, selected: DataFrame) -> DataFrame:
+    """(qid, item, stage) of every gold item: how far it came, ``not_indexed``, ``not_candidate``, ``not_selected`` or ``found``."""
+    known = lambda df, *on: df.select(*on).distinct().withColumn("__" + "_".join(on), F.lit(True))
+    rows = gold.select("qid", "item").distinct().join(known(indexed, "item"), "item", "left")
+    rows = rows.join(known(candidates, "qid", "item").withColumnRenamed("__qid_item", "__c"), ["qid", "item"], "left")
+    rows = rows.join(known(selected, "qid", "item").withColumnRenamed("__qid_item", "__s"), ["qid", "item"], "left")
+    stage = F.when(F.col("__s"), "found").when(F.col("__c"), "not_selected").when(F.col("__item"), "not_candidate").otherwise("not_indexed")
+    return rows.select("qid", "item", stage.alias("stage"))
+
+
+def covered_questions(gold: DataFrame, available: DataFrame) -> DataFrame:
+    """(qid, covered): whether all of a question's gold items are available (item)."""
+    held = gold.select("qid", "item").distinct().join(available.select("item", F.lit(1).alias("__held")).distinct(), "item", "left")
+    return held.groupBy("qid").agg((F.count("__held") == F.count(F.lit(1))).alias("covered"))
+
+
 def failure_summary(rows: DataFrame, mode: str = "mode", group: str = "grp") -> DataFrame:
     """Zero-hit and incomplete questions and mean recall, by mode over all and by mode and group."""
     return rows.groupingSets([[mode], [mode, group]], mode, group).agg(
@@ -107,10 +138,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def paired_bootstrap(differences: DataFrame, column: str = "difference", draws: int = 2_000, seed: int = 20261113) -> DataFrame:
     """(mean, lower, upper): 95 % interval of the mean difference.
 
-    Each row's part in a draw is a Poisson(1) number from a seeded hash, so the rows are never
-    gathered: a draw is a weighted mean, and each batch of rows gives one sum a draw.
+    Each row's part in a draw is a Poisson(1) number from a seeded hash of the row and its place, so
+    equal rows are drawn apart and the rows are never gathered: a draw is a weighted mean, and each
+    batch of rows gives one sum a draw.
     """
-    rows = differences.where(F.col(column).isNotNull()).select(F.xxhash64(F.struct(*differences.columns)).alias("h"), F.col(column).cast("double").alias("d"))
+    place = F.xxhash64(F.struct(*differences.columns), F.monotonically_increasing_id())
+    rows = differences.where(F.col(column).isNotNull()).select(place.alias("h"), F.col(column).cast("double").alias("d"))
     seeds = _mix(np.arange(1, draws + 1, dtype=np.uint64) + (np.uint64(seed) << np.uint64(32)))
     terms = np.cumprod([0.36787944117144233, *(1 / k for k in range(1, 9))])
     steps = (np.cumsum(terms) * 2.0**32).astype(np.uint32)

@@ -176,10 +176,13 @@ def reachable(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 
 def shuffled_edges(edges: DataFrame, seed: int) -> DataFrame:
-    """Control graph: the same sources and targets (so the same degrees), newly paired by a seeded hash order."""
+    """Control graph: the same sources and targets (so the same degrees), newly paired at random; self-loops and repeated edges stay.
+
+    The targets are ordered by a seeded hash of their whole edge, so those of one source, and equal ones, are spread.
+    """
     left = _numbered(edges.drop("target_id"), F.xxhash64("source_id", "kind", F.lit(seed)), "source_id", "kind")
-    right = _numbered(edges.select("target_id"), F.xxhash64("target_id", F.lit(seed + 1)), "target_id")
-    return left.join(right, "__n").drop("__n")
+    right = _numbered(edges.select("target_id", "source_id", "kind"), F.xxhash64("source_id", "kind", "target_id", F.lit(seed + 1)), "target_id")
+    return left.join(right.select("target_id", "__n"), "__n").drop("__n")
 
 
 def _numbered(df: DataFrame, *order) -> DataFrame:
@@ -195,7 +198,9 @@ def _numbered(df: DataFrame, *order) -> DataFrame:
 def concept_candidates(concepts: DataFrame, most: int) -> DataFrame:
     """(source_id, target_id, overlap): articles that share concepts (article_id, concept_key), ``most`` a source and concept."""
     left = concepts.select(F.col("article_id").alias("source_id"), "concept_key").distinct()
-    right = concepts.select(F.col("article_id").alias("target_id"), "concept_key").distinct()
+    # Targets are taken in the order of their ids: beyond one more than wanted none of a concept is ever taken.
+    first = F.row_number().over(W.partitionBy("concept_key").orderBy("target_id"))
+    right = concepts.select(F.col("article_id").alias("target_id"), "concept_key").distinct().withColumn("n", first).where(F.col("n") <= most + 1).drop("n")
     met = left.join(right, "concept_key").where("source_id <> target_id")
     capped = met.withColumn("n", F.row_number().over(W.partitionBy("source_id", "concept_key").orderBy("target_id"))).where(F.col("n") <= most)
     return capped.groupBy("source_id", "target_id").agg(F.countDistinct("concept_key").alias("overlap"))

@@ -21,7 +21,7 @@ def heavy_exact(df: DataFrame, columns: list[str], n: int, top: int) -> DataFram
 
 
 def heavy_sketch(df: DataFrame, columns: list[str], n: int, top: int, counters: int = 10_000) -> DataFrame:
-    """The same with at most ``counters`` counters a task: candidates from a frequency sketch, counted exactly in a second pass."""
+    """The same with at most ``counters`` counters a task: all runs that a frequency sketch still holds are counted exactly in a second pass."""
     grams = grams_of(df, columns, n)
-    found = grams.agg(F.expr(f"approx_top_k(gram, {top}, {max(counters, top)})").alias("k")).select(F.explode("k").alias("c")).select(F.col("c.item").alias("gram"))
+    found = grams.agg(F.expr(f"approx_top_k(gram, {max(counters, top)}, {max(counters, top)})").alias("k")).select(F.explode("k").alias("c")).select(F.col("c.item").alias("gram"))
     return grams.join(F.broadcast(found), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "gram").limit(top)

@@ -36,6 +36,8 @@ GENERIC_NAMES = (
 FORMAL = ("AMENDS", "ADDS_TO", "REPEALS", "REPLACES")
 NOT_OPERATIVE = r"không\s+(?:được\s+)?(?:sửa đổi|bãi bỏ|thay thế|bổ sung)|dự kiến|đề xuất|kiến nghị|dự thảo"
 ENDED = r"hết hiệu lực|ngưng hiệu lực"
+# Fixed value: how far before an article its clauses may be named.
+SCOPE_CHARS = 80
 PROPOSAL = (
     "source_id string, target_id string, kind string, source_chunk_id string, target_chunk_id string, evidence string, "
     "target_evidence string, confidence string, bridge struct<source_quote:string,target_quote:string,explanation:string>"
@@ -64,11 +66,20 @@ def _within(part: str, whole: str) -> Column:
 
 def parse_proposals(responses: DataFrame, raw: str = "raw") -> DataFrame:
     """Proposal columns from responses; unreadable ones, and values of a wrong type, become null."""
-    parsed = F.from_json(X.model_json(raw), PROPOSAL)
-    typed = F.from_json(X.model_json(raw), "map<string,string>")
-    return responses.withColumn("__p", parsed).withColumn("__m", typed).select(
-        *(c for c in responses.columns), *(F.when(F.col("__p").isNotNull(), F.col(f"__p.{name.split()[0]}")).alias(f"p_{name.split()[0]}") for name in PROPOSAL.split(", "))
-    )
+    read = F.try_parse_json(X.model_json(raw))
+
+    def field(name: str, kind: str) -> Column:
+        value = F.try_variant_get("__v", f"$.{name}", "variant")
+        wanted = {"string": "STRING"}.get(kind, "OBJECT<")
+        right = F.lit(True) if name == "confidence" else F.schema_of_variant(value).startswith(wanted)
+        return F.when(right, F.try_variant_get("__v", f"$.{name}", kind)).alias(f"p_{name}")
+
+    return responses.withColumn("__v", read).select(*responses.columns, *(field(*name.split(maxsplit=1)) for name in PROPOSAL.split(", ")))
+
+
+def no_bridge() -> Column:
+    """The empty bridge of a proposal that states its relation itself."""
+    return F.lit(None).cast("struct<source_quote:string,target_quote:string,explanation:string>")
 
 
 def document_relations(proposals: DataFrame, chunks: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -145,10 +156,10 @@ def article_relations(proposals: DataFrame, chunks: DataFrame, mapping: DataFram
 
 
 def scope_matches(relations: DataFrame, provisions: DataFrame) -> DataFrame:
-    """Relations whose evidence names clauses of the target article only if the target quote lies in one of them."""
+    """Relations whose evidence names clauses of the target article (before the first place that names it) only if the target quote lies in one of them."""
     article = F.element_at(F.split("target_id", ":article:"), -1)
-    near = F.regexp_extract(F.col("evidence"), r"(?isu)^(.*?)Điều\s+\d+[a-zđ]?(?![\p{L}\p{N}_])", 1)
-    before = F.when(F.lower(F.regexp_extract("evidence", r"(?iu)Điều\s+(\d+[a-zđ]?)", 1)) == F.lower(article), F.substring(near, -80, 80)).otherwise("")
+    named = F.regexp_instr("evidence", F.concat(F.lit(r"(?iu)Điều\s+\Q"), article, F.lit(r"\E(?![\p{L}\p{N}_])")))
+    before = F.when(named > 1, F.substring("evidence", F.greatest(F.lit(1), named - SCOPE_CHARS), F.least(F.lit(SCOPE_CHARS), named - 1))).otherwise("")
     clauses = F.regexp_extract_all(before, F.lit(r"(?iu)khoản\s+(\d+)"), F.lit(1))
     marked = relations.withColumn("__clauses", clauses).withColumn("__row", F.xxhash64("source_id", "target_id", "kind", "source_chunk_id", "target_chunk_id"))
     nodes = provisions.where("level = 'Clause'").select(F.col("parent_id").alias("target_id"), "label", X.text("text").alias("__text"))

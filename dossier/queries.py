@@ -284,9 +284,20 @@ def q_bfs(spark, sf_dir):
     return graph.expand_articles(seeds, graph.usable_edges(edges.drop("valid_from"), Expansion()), Expansion()).select("query_id", "node", r6(F.col("score")).alias("score"), "depth", F.size("path").alias("hops"))
 
 
-@query()
+@query(f"""WITH {EDGES} SELECT 'source' AS side, source_id AS node, kind, count(*) AS degree FROM edges GROUP BY ALL
+    UNION ALL SELECT 'target', target_id, '', count(*) FROM edges GROUP BY ALL
+    UNION ALL SELECT 'all', 'mostly other pairs', '', 1""")
 def q_shuffled_edges(spark, sf_dir):
-    return graph.shuffled_edges(_edges(spark, sf_dir).select("source_id", "target_id", "kind"), 42)
+    """Degrees of the shuffled control graph (they must be those of the edges), and whether many pairs are new."""
+    edges = cut(_edges(spark, sf_dir).select("source_id", "target_id", "kind"))
+    shuffled = cut(graph.shuffled_edges(edges, 42))
+    side = lambda name, node, kind: shuffled.groupBy(F.col(node).alias("node"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("degree")).select(F.lit(name).alias("side"), "node", "kind", "degree")
+    old = edges.select("source_id", "target_id").distinct().withColumn("old", F.lit(1))
+    pairs = shuffled.select("source_id", "target_id").distinct().join(old, ["source_id", "target_id"], "left")
+    # Distinct pairs of the shuffled graph that the edges don't have, against the pairs of the edges: chance leaves few.
+    fresh = pairs.agg(F.count_if(F.col("old").isNull()).alias("n")).crossJoin(old.agg(F.count(F.lit(1)).alias("m")))
+    fresh = fresh.select(F.lit("all").alias("side"), F.lit("mostly other pairs").alias("node"), F.lit("").alias("kind"), (F.col("n") > 0.4 * F.col("m")).cast("bigint").alias("degree"))
+    return side("source", "source_id", F.col("kind")).unionByName(side("target", "target_id", F.lit(""))).unionByName(fresh)
 
 
 @query("""WITH a AS (SELECT DISTINCT id, parent_id, start_pos FROM provision WHERE level = 'Article' AND parent_id IS NOT NULL)
@@ -416,7 +427,7 @@ def q_set_ops(spark, sf_dir):
     labels = table(spark, sf_dir, "subject_label").select("doc_id", F.lower(F.trim("subject")).alias("s"), "annotator")
     one = lambda a: labels.where(F.col("annotator") == a).select("doc_id", "s")
     both = one("an1").intersect(one("an2")).select(F.lit("both").alias("what"), "doc_id", "s")
-    return both.unionByName(one("an1").exceptAll(one("an1").where("false")).distinct().subtract(one("an2")).select(F.lit("first").alias("what"), "doc_id", "s"))
+    return both.unionByName(one("an1").subtract(one("an2")).select(F.lit("first").alias("what"), "doc_id", "s"))
 
 
 @query("SELECT what, n FROM (SELECT event_type AS what, count(*) AS n FROM events GROUP BY 1) ORDER BY n DESC, what LIMIT 3")
@@ -507,10 +518,12 @@ def q_chunk_articles(spark, sf_dir):
 
 
 @query()
-def q_self_citations(spark, sf_dir):
-    documents = _documents(spark, sf_dir)
+def q_article_citations(spark, sf_dir):
+    documents = cut(_documents(spark, sf_dir).select("id", "title", "number", "full_text", "effective_date", "expiry_date", "status"))
     chunks, provisions = cut(chunking.chunk_documents(documents)), cut(chunking.parse_structure(documents))
-    return chunking.self_citations(chunks, provisions, cut(chunking.map_chunks(provisions, chunks)), graph.unique_owners(_identifiers(spark, sf_dir)).unionByName(_identifiers(spark, sf_dir)).distinct())
+    mapping, owners = cut(chunking.map_chunks(provisions, chunks)), graph.unique_owners(_identifiers(spark, sf_dir))
+    proposed = chunking.article_citations(chunks, mapping, owners).withColumn("bridge", validate.no_bridge())
+    return validate.article_relations(proposed, chunks, mapping, documents, owners)
 
 
 @query()
@@ -532,7 +545,7 @@ def q_document_relations(spark, sf_dir):
     proposals = proposals.where("source_id <> target_id").select(
         "source_id", "target_id", F.col("source_id").alias("candidate_source"), F.col("target_id").alias("candidate_target"), F.upper("kind").alias("kind"), "source_chunk_id", F.lit("").alias("target_chunk_id"),
         F.expr("substring(body, greatest(1, start_pos - 79), end_pos - start_pos + 80)").alias("evidence"),
-    ).replace({"REPEALS": "REPEALS"}, subset=["kind"])
+    )
     return validate.document_relations(proposals, chunks, owners)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions import text as X
+from dossier.plans.shared import cut
 
 # Columns of a document CSV, the field each becomes, and how it is normalised.
 DOCUMENT_COLUMNS = (
@@ -98,16 +102,86 @@ def evaluation_csv(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-ENTRY = r"\{\s*['\"]aid['\"]\s*:\s*(\d+)\s*,\s*['\"]content_Article['\"]\s*:\s*(?:'((?:[^'\\]|\\.)*)'|\"((?:[^\"\\]|\\.)*)\")\s*\}"
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
+
+
+def _quoted(text: str, at: int) -> tuple[str, int]:
+    """The string that a quote at ``at`` begins, without its escapes, and the place behind it."""
+    quote, out = text[at], []
+    at += 1
+    while at < len(text) and text[at] != quote:
+        if text[at] == "\\" and at + 1 < len(text):
+            at += 1
+            out.append(ESCAPES.get(text[at], text[at] if text[at] in "\\'\"" else "\\" + text[at]))
+        else:
+            out.append(text[at])
+        at += 1
+    if at >= len(text):
+        raise ValueError("a string isn't closed")
+    return "".join(out), at + 1
+
+
+def _tokens(text: str) -> Iterator[tuple[str, str]]:
+    """(kind, value) of the strings, numbers and marks of a written-out array; blanks are passed over."""
+    at = 0
+    while at < len(text):
+        if text[at].isspace():
+            at += 1
+        elif text[at] in "'\"":
+            value, at = _quoted(text, at)
+            yield "string", value
+        elif text[at].isdigit():
+            end = at
+            while end < len(text) and text[end].isdigit():
+                end += 1
+            yield "number", text[at:end]
+            at = end
+        elif text[at] in "[]{}:,":
+            yield text[at], text[at]
+            at += 1
+        else:
+            raise ValueError(f"unreadable corpus content: {text[at : at + 40]}")
+
+
+# Fixed value: an object of the array, as the kinds of its tokens; the keys are named.
+OBJECT, KEYS = ("{", "string", ":", "number", ",", "string", ":", "string", "}"), ("aid", "content_Article")
+
+
+def written_objects(text: str) -> list[tuple[str, str]]:
+    """(aid, content) of the objects of a written-out array; anything between them but brackets and commas is an error."""
+    tokens, out, at = list(_tokens(text)), [], 0
+    while at < len(tokens):
+        if tokens[at][0] == "{":
+            part = tokens[at : at + len(OBJECT)]
+            if tuple(kind for kind, _ in part) != OBJECT or (part[1][1], part[5][1]) != KEYS:
+                raise ValueError(f"unreadable corpus content: {''.join(v for _, v in part)[:40]}")
+            out.append((part[3][1], part[7][1]))
+            at += len(OBJECT)
+        elif tokens[at][0] in "[],":
+            at += 1
+        else:
+            raise ValueError(f"unreadable corpus content: {tokens[at][1][:40]}")
+    return out
 
 
 def corpus(df: DataFrame) -> DataFrame:
-    """(law_id, aid, content) of rows whose ``content`` is an array of written-out objects; anything between them is an error."""
-    rest = F.regexp_replace(F.regexp_replace("content", ENTRY, ""), r"[\s\[\],]", "")
-    checked = df.withColumn("content", F.when(rest == "", F.col("content")).otherwise(F.raise_error(F.concat(F.lit("unreadable corpus content: "), F.substring(rest, 1, 40)))))
-    each = checked.select("law_id", F.explode(F.regexp_extract_all("content", F.lit(ENTRY), F.lit(0))).alias("o"))
-    body = F.concat(F.regexp_extract("o", ENTRY, 2), F.regexp_extract("o", ENTRY, 3))
-    return each.select("law_id", F.regexp_extract("o", ENTRY, 1).alias("aid"), X.body_text(body).alias("content"))
+    """(law_id, aid, content) of rows whose ``content`` is an array of written-out objects.
+
+    Anything between the objects, an aid that stands twice, and a corpus without any object are errors.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(law, aid, body) for law, text in zip(frame["law_id"], frame["content"]) for aid, body in written_objects(text or "")]
+            yield pd.DataFrame(rows, columns=["law_id", "aid", "content"])
+
+    rows = cut(df.select("law_id", "content").mapInPandas(read, "law_id string, aid string, content string"))
+    again = duplicate_ids(rows, "aid").limit(5).collect()
+    if again:
+        raise ValueError(f"duplicate article ids: {', '.join(r['aid'] for r in again)}")
+    if rows.isEmpty():
+        raise ValueError("the corpus is empty")
+    return rows.select("law_id", "aid", X.body_text("content").alias("content"))
 
 
 def aid_laws(df: DataFrame) -> DataFrame:
@@ -140,3 +214,19 @@ def index_hashes(state: DataFrame, ids: DataFrame) -> DataFrame:
 def unambiguous_articles(links: DataFrame) -> DataFrame:
     """(chunk_id, article_id) of the chunks with exactly one article."""
     return links.groupBy("chunk_id").agg(F.countDistinct("article_id").alias("n"), F.min("article_id").alias("article_id")).where("n = 1").drop("n")
+
+
+# Fixed value: what questions about the organisation of a body speak of.
+ORGANISATION = r"vị trí và chức năng|cơ cấu tổ chức|hệ thống tổ chức|trực thuộc|nhiệm vụ và quyền hạn"
+
+
+def organisation_question(question) -> Column:
+    """Whether a question asks how a body is organised; false for null."""
+    return F.lower(F.coalesce(F.col(question) if isinstance(question, str) else question, F.lit(""))).rlike(ORGANISATION)
+
+
+def require_laws(wanted: DataFrame, laws: DataFrame, key: str = "aid") -> DataFrame:
+    """``wanted`` with the law of each key; a key without one, or with several, is an error when its row is read."""
+    one = laws.groupBy(key).agg(F.countDistinct("law_id").alias("__n"), F.min("law_id").alias("law_id"))
+    said = F.concat(F.when(F.col("__n").isNull(), "no law for ").otherwise("several laws for "), F.col(key).cast("string"))
+    return wanted.join(one, key, "left").withColumn("law_id", F.when(F.col("__n") == 1, F.col("law_id")).otherwise(F.raise_error(said))).drop("__n")

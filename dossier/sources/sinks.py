@@ -1,13 +1,16 @@
 """Sinks: keyed upserts, invalidation and guarded merges as DataFrames, and crash-safe table writes.
 
-A table is a folder of versions; a write makes a new version completely and then moves a
-small pointer file, so a reader sees the old or the new table and never half of one.
+A table is a folder of versions and numbered manifests, each the list of the version folders that
+make up the table.  A write completes a new version, writes its manifest under another name and
+renames it, so a reader sees the old or the new table and never half of one.  A table in buckets
+is rewritten only in the buckets that change.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,6 +20,8 @@ from dossier.functions import text as X
 from dossier.operators.search import check_dimension
 
 RELATION_KEY = ("source_id", "target_id", "kind")
+#: Buckets of a table that grows by documents.
+BUCKETS = 64
 
 
 class Store:
@@ -30,13 +35,36 @@ class Store:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
+    def _manifests(self, name: str) -> list[int]:
+        fs, path = self._file(f"{self.folder}/{name}/manifests")
+        names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _manifest(self, name: str) -> dict[str, str]:
+        numbers = self._manifests(name)
+        if not numbers:
+            raise FileNotFoundError(f"no table {name}")
+        return json.loads(self.spark.read.text(f"{self.folder}/{name}/manifests/{numbers[-1]}", wholetext=True).first()[0])
+
+    def _publish(self, name: str, manifest: dict[str, str]) -> None:
+        number = max(self._manifests(name), default=0) + 1
+        fs, path = self._file(f"{self.folder}/{name}/manifests/_{uuid.uuid4().hex}")
+        fs.mkdirs(path.getParent())
+        out = fs.create(path, False)
+        out.write(bytearray(json.dumps(manifest), "utf-8"))
+        out.close()
+        if not fs.rename(path, self._file(f"{self.folder}/{name}/manifests/{number}")[1]):
+            raise OSError(f"table {name} was changed by another writer")
+
     def exists(self, name: str) -> bool:
-        fs, path = self._file(f"{self.folder}/{name}/CURRENT")
-        return fs.exists(path)
+        return bool(self._manifests(name))
 
-    def read(self, name: str) -> DataFrame:
-        version = self.spark.read.text(f"{self.folder}/{name}/CURRENT").first()[0]
-        return self.spark.read.parquet(f"{self.folder}/{name}/{version}")
+    def read(self, name: str, buckets: Iterable[str] | None = None) -> DataFrame:
+        """The table, or only the given buckets of it."""
+        manifest = self._manifest(name)
+        paths = {p for b, p in manifest.items() if buckets is None or b in buckets}
+        df = self.spark.read.parquet(*(f"{self.folder}/{name}/{p}" for p in sorted(paths or set(manifest.values()))))
+        return df if paths else df.limit(0)
 
     def write(self, name: str, df: DataFrame, recreate: bool = True, partition_by: list[str] | None = None) -> None:
         """A new version of the table, complete before it is seen; refused if one exists and ``recreate`` is false."""
@@ -44,11 +72,24 @@ class Store:
             raise FileExistsError(f"table {name} exists")
         version = uuid.uuid4().hex
         df.write.partitionBy(*(partition_by or [])).parquet(f"{self.folder}/{name}/{version}")
-        fs, path = self._file(f"{self.folder}/{name}/CURRENT")
-        fs.mkdirs(path.getParent())
-        out = fs.create(path, True)
-        out.write(bytearray(version, "ascii"))
-        out.close()
+        self._publish(name, {"all": version})
+
+    def replace(self, name: str, rows: DataFrame, gone: DataFrame, key: str = "document_id") -> None:
+        """``rows`` take the place of the rows whose ``key`` is in ``gone``; only the buckets of these keys are read and written."""
+        bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("string")
+        old = self._manifest(name) if self.exists(name) else {}
+        touched = {r[0] for r in gone.select(bucket).unionByName(rows.select(bucket)).distinct().collect()}  # at most BUCKETS
+        if "all" in old:
+            touched = {str(b) for b in range(BUCKETS)}
+        kept = touched if "all" not in old else None
+        if old and (kept is None or kept & old.keys()):
+            rows = delete(self.read(name, kept), gone, key).unionByName(rows, allowMissingColumns=True)
+        version = uuid.uuid4().hex
+        path = f"{self.folder}/{name}/{version}"
+        rows.withColumn("__bucket", bucket).repartition("__bucket").write.partitionBy("__bucket").parquet(path)
+        fs, where = self._file(path)
+        fresh = {f.getPath().getName().split("=")[1] for f in fs.listStatus(where) if "=" in f.getPath().getName()}
+        self._publish(name, {b: p for b, p in old.items() if b not in touched and b != "all"} | {b: f"{version}/__bucket={b}" for b in fresh} or {"all": version})
 
     def reset(self, *names: str) -> None:
         for name in names:
@@ -57,8 +98,9 @@ class Store:
 
 
 def upsert(old: DataFrame | None, new: DataFrame, *keys: str) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with equal keys; of repeated new rows one is kept."""
-    new = new.dropDuplicates(list(keys))
+    """Rows of ``new`` replace those of ``old`` with equal keys; of repeated new rows the last one (in the order they are read) counts."""
+    row = F.struct(*new.columns)
+    new = new.withColumn("__at", F.monotonically_increasing_id()).groupBy(*(F.col(k).alias(f"__k{n}") for n, k in enumerate(keys))).agg(F.max_by(row, "__at").alias("__row")).select("__row.*")
     if old is None:
         return new
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)

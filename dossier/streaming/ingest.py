@@ -67,14 +67,13 @@ def run(spark: SparkSession, store: sinks.Store, documents: DataFrame, settings:
         "identifiers": sinks.identifiers(work),
     }
     for name, rows in fresh.items():
-        old = store.read(name) if store.exists(name) else None
-        store.write(name, rows if old is None else sinks.delete(old, ids).unionByName(rows))
+        store.replace(name, rows, ids)
     if store.exists("relations"):
         store.write("relations", sinks.invalidate({"relations": store.read("relations")}, ids)["relations"])
     counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("chunk_count"))
     done = work.select(F.col("id").alias("document_id"), "index_hash").join(counts, "document_id", "left")
     done = done.select("document_id", F.lit("ready").alias("index_status"), "index_hash", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.current_timestamp().alias("changed_at"))
-    store.write("state", sinks.upsert(state, done, "document_id"))
+    store.replace("state", done, ids)
     return number
 
 

@@ -65,6 +65,28 @@ def test_evaluation_and_corpus(spark, tmp_path):
     assert readers.aid_laws(df).count() == 2
     with pytest.raises(Exception, match="unreadable"):
         readers.corpus(df.withColumn("content", F.concat("content", F.lit(" MISSING")))).collect()
+    with pytest.raises(ValueError, match="duplicate article ids: 1, 2"):
+        readers.corpus(df.unionByName(df))
+    with pytest.raises(ValueError, match="empty"):
+        readers.corpus(df.limit(0))
+
+
+def test_written_objects():
+    assert readers.written_objects(r"""[{"aid": 7, 'content_Article': "a 'b' \"c\" \n\d"}, ]""") == [("7", "a 'b' \"c\" \n\\d")]
+    for wrong in ("[{'aid': 1}]", "[{'aid': 'x', 'content_Article': 'y'}]", "[{'id': 1, 'content_Article': 'y'}]", "[{'aid': 1, 'content_Article': 'y}]", "[x]"):
+        with pytest.raises(ValueError):
+            readers.written_objects(wrong)
+
+
+def test_laws_of_articles_are_total(spark):
+    laws = spark.createDataFrame([("1", "l1"), ("1", "l1"), ("2", "l2"), ("2", "l3")], "aid string, law_id string")
+    wanted = spark.createDataFrame([("1",), ("2",), ("3",)], "aid string")
+    assert readers.require_laws(wanted.where("aid = '1'"), laws).first().law_id == "l1"
+    for aid, said in (("2", "several laws for 2"), ("3", "no law for 3")):
+        with pytest.raises(Exception, match=said):
+            readers.require_laws(wanted.where(F.col("aid") == aid), laws).collect()
+    tags = spark.createDataFrame([("Cơ cấu tổ chức của Sở?",), ("Phí bao nhiêu?",), (None,)], "q string").select(readers.organisation_question("q").alias("t"))
+    assert [r.t for r in tags.collect()] == [True, False, False]
 
 
 def test_corpus_fields(spark, tmp_path):
