@@ -1,41 +1,48 @@
 """Problem 8: filling fixed-capacity containers with items of varying length.
 
-Best fit in bulk-synchronous steps.  Items and gaps are kept in order of size as runs of
-equal size (never more than the capacity, however many items there are).  A step takes
-the largest unplaced size and matches all its items by a successor sweep over the gaps:
-each goes to the smallest gap that holds it, the run of items and the run of gaps are
-paired by rank, the gaps are updated, and the next step follows.  Items that find no gap
-open containers.  This is exactly best-fit-decreasing over all items, computed on the
-counts; the rows then learn their container from their rank within their size, in one
-distributed pass.
-
-What reaches the driver is one count for each size (bounded by the capacity).  Ranks are
-taken within (partition, size) and shifted by the counts of earlier partitions, so a size
-that a third of the items share is no hot task.
+Best fit in bulk-synchronous steps.  Units (items, or bundles of small ones) and gaps of
+containers are range-sorted together by size.  A step is a distributed successor sweep: every
+task sweeps its range upwards and gives each gap the largest unit below it that no smaller gap
+has taken.  What a range can't settle, units without a gap and gaps without a unit, is settled
+by rank: the numbers left over in each range say which unit of which range goes to which gap,
+and those rows alone are joined.  Then the gaps are updated, and the next step follows.  Where
+no unit fits any gap, as many containers as the rest needs at least are opened, each with one
+of the largest units.  A rest of at most REST rows is swept by one task until nothing is left,
+by the same rule, so its result is the same.
+
+The driver sees two numbers for each range and step.  Sorting by size and key spreads a size
+that a third of the items share over several ranges.
 
 Defined results: null and empty texts are left out; an item above the capacity becomes
-full parts and a rest; equal sizes are ranked by partition and id; no input gives no rows.
+full parts and a rest; equal sizes are ranked by key; no input gives no rows.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.llm.tokens import VOCABULARY, token_counts
 from dossier.plans.shared import cut, table
 
 CAPACITY = 4096
+#: Parts below this share of the capacity are bundled until they reach it, so that the number of steps doesn't depend on them.
+SMALL = 1 / 256
+#: Rows (units and gaps) that one task may sweep to the end.
+REST = 5_000
+UNIT, GAP = 0, 1
 
 
 def plan_containers(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit-decreasing on counts: (size, first rank, items, first container, items in each container)."""
+    """Best-fit-decreasing on counts, the yardstick of the packing in tests: (size, first rank, items, first container, items in each container)."""
     gaps: dict[int, list[tuple[int, int]]] = {}
     order: list[int] = []
     plan, opened = [], 0
@@ -84,31 +91,194 @@ def sized_parts(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CA
     return sizes.select(id_col, "part", start.alias("start"), F.least(F.lit(capacity), F.col("__size") - start).cast("int").alias("tokens"))
 
 
-def fill_containers(parts: DataFrame, id_col: str, capacity: int = CAPACITY) -> DataFrame:
-    """``parts`` (id_col, part, start, tokens) with the number of the ``container`` of each."""
-    parts = cut(parts.withColumn("__p", F.spark_partition_id()))
-    local = cut(parts.groupBy("__p", "tokens").agg(F.count(F.lit(1)).alias("__n")))
-    counts = {r["tokens"]: r["n"] for r in local.groupBy("tokens").agg(F.sum("__n").alias("n")).collect()}
-    plan = sorted(plan_containers(counts, capacity))
-    earlier = F.sum("__n").over(W.partitionBy("tokens").orderBy("__p").rowsBetween(W.unboundedPreceding, -1))
-    offsets = local.select("__p", "tokens", F.coalesce(earlier, F.lit(0)).alias("__offset"))
-    ranked = parts.withColumn("__local", F.row_number().over(W.partitionBy("__p", "tokens").orderBy(id_col, "part")) - 1)
-    ranked = ranked.join(offsets, ["__p", "tokens"]).select(
-        id_col, "part", "start", "tokens", (F.col("__local") + F.col("__offset")).cast("bigint").alias("__rank")
-    )
-    size, first_rank, _, first, each = (np.array(c, dtype=np.int64) for c in (zip(*plan) if plan else [[]] * 5))
-    shift = max(counts.values(), default=0) + 1
-    keys = size * shift + first_rank
+def bundled(parts: DataFrame, capacity: int) -> DataFrame:
+    """``parts`` with the key of the ``unit`` of each: itself, or a bundle of small parts of its partition."""
+    least = max(1, int(capacity * SMALL))
+    at = parts.columns.index("tokens")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, open_, filled = TaskContext.get().partitionId() << 33, None, 0
+        for batch in batches:
+            units = []
+            for tokens in batch.column(at).to_pylist():
+                if tokens < least:
+                    if open_ is None or filled + tokens > 2 * least or filled + tokens > capacity:
+                        key, open_, filled = key + 1, key, 0
+                    units.append(open_)
+                    filled += tokens
+                    if filled >= least:
+                        open_ = None
+                else:
+                    units.append(key)
+                    key += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(units, pa.int64())], names=[*batch.schema.names, "unit"])
+
+    return parts.mapInArrow(run, T.StructType([*parts.schema.fields, T.StructField("unit", T.LongType())]))
+
+
+STATE = "size int, kind int, key bigint"
+#: A pair has the unit in ``key`` and the container in ``container``, and what is left of the gap; a row left over has its range and its rank in it.
+SWEPT = "size int, kind int, key bigint, container bigint, left int, range int, rank bigint"
+
+
+def _rows(columns: list[list], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "bigint": pa.int64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range, ascending by size, units before gaps: each gap takes the last unit that is still free."""
+    own, waiting, empty = TaskContext.get().partitionId(), [], 0
+    for batch in batches:
+        rows = []
+        for size, kind, key in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == UNIT:
+                waiting.append((size, key))
+            elif waiting:
+                taken, unit = waiting.pop()
+                rows.append((taken, UNIT, unit, key, size - taken, None, None))
+            else:
+                rows.append((size, GAP, key, None, None, own, empty))
+                empty += 1
+        yield _rows(list(map(list, zip(*rows))) or [[]] * 7, SWEPT)
+    for start in range(0, len(waiting), 10_000):
+        part = [(size, UNIT, key, None, None, own, len(waiting) - 1 - k) for k, (size, key) in enumerate(waiting[start : start + 10_000], start)]
+        yield _rows(list(map(list, zip(*part))), SWEPT)
+
+
+def settle(units: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """(range of units, first rank, range of gaps, first rank, number): which left-over units go to which left-over gaps.
+
+    The gaps of a range come before its units: they take the units of the ranges below, the nearest first.
+    """
+    waiting, out = [], []
+    for place in sorted(units.keys() | gaps.keys()):
+        taken, number = 0, gaps.get(place, 0)
+        while number and waiting:
+            below, rank, left = waiting.pop()
+            both = min(left, number)
+            out.append((below, rank, place, taken, both))
+            taken, number = taken + both, number - both
+            if left > both:
+                waiting.append((below, rank + both, left - both))
+        if units.get(place):
+            waiting.append((place, 0, units[place]))
+    return out
+
+
+def _paired(pairs: list[tuple[int, int, int, int, int]]):
+    """Adds the number of the pair that a row left over belongs to; null where it stays alone."""
+    base = np.cumsum([0, *(p[4] for p in pairs)])
+    sides = []
+    for kind, place, rank in ((UNIT, 0, 1), (GAP, 2, 3)):
+        order = sorted(range(len(pairs)), key=lambda k: (pairs[k][place], pairs[k][rank]))
+        sides.append((kind, [(pairs[k][place], pairs[k][rank], pairs[k][4], int(base[k])) for k in order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, rank = (batch.column(k).to_numpy().astype(np.int64) for k in (3, 4))
-            at = np.searchsorted(keys, tokens * shift + rank, side="right") - 1
-            container = first[at] + (rank - first_rank[at]) // each[at]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(container)], names=[id_col, "part", "start", "tokens", "container"])
+            numbers: list[int | None] = [None] * batch.num_rows
+            kinds, ranges, ranks = (batch.column(k).to_pylist() for k in (1, 5, 6))
+            for kind, spans in sides:
+                for n in range(batch.num_rows):
+                    if kinds[n] == kind:
+                        k = bisect_left(spans, (ranges[n], ranks[n] + 1)) - 1
+                        if k >= 0 and spans[k][0] == ranges[n] and ranks[n] < spans[k][1] + spans[k][2]:
+                            numbers[n] = spans[k][3] + ranks[n] - spans[k][1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "pair"])
+
+    return run
+
+
+def finish(sizes: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity: int, opened: int) -> list[tuple[int, int]]:
+    """(unit, container) of all units (size, key), by steps over the units and the gaps (size, container) that are left."""
+    out, units, gaps = [], sorted(sizes), list(gaps)
+    while units:
+        waiting: list[tuple[int, int]] = []
+        after: list[tuple[int, int]] = []
+        placed = False
+        for size, kind, key in sorted([(s, UNIT, k) for s, k in units] + [(s, GAP, k) for s, k in gaps]):
+            if kind == UNIT:
+                waiting.append((size, key))
+            elif waiting:
+                taken, unit = waiting.pop()
+                out.append((unit, key))
+                placed = True
+                if size > taken:
+                    after.append((size - taken, key))
+            else:
+                after.append((size, key))
+        units, gaps = waiting, after
+        if not placed and units:
+            number = -(-sum(s for s, _ in units) // capacity)
+            for size, unit in reversed(units[-number:]):
+                out.append((unit, opened))
+                if size < capacity:
+                    gaps.append((capacity - size, opened))
+                opened += 1
+            units = units[:-number]
+    return out
 
-    kind = parts.schema[id_col].dataType.simpleString()
-    return ranked.mapInArrow(run, f"`{id_col}` {kind}, part int, start bigint, tokens int, container bigint")
+
+def place_units(units: DataFrame, capacity: int) -> DataFrame:
+    """(unit, container) of units (unit, size)."""
+    spark = units.sparkSession
+    state = cut(units.select(F.col("size").cast("int").alias("size"), F.lit(UNIT).alias("kind"), F.col("unit").alias("key")))
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    done, opened = [], 0
+    while True:
+        rows = state.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == UNIT).alias("units"), F.coalesce(F.sum(F.when(F.col("kind") == UNIT, F.col("size"))), F.lit(0)).alias("tokens")).first()
+        if not rows["units"]:
+            break
+        if rows["n"] <= REST:
+            first = opened
+
+            def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                left = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))]
+                found = finish([(s, k) for s, kind, k in left if kind == UNIT], [(s, k) for s, kind, k in left if kind == GAP], capacity, first)
+                yield _rows(list(map(list, zip(*found))) or [[]] * 2, "unit bigint, container bigint")
+
+            done.append(state.coalesce(1).mapInArrow(rest, "unit bigint, container bigint"))
+            break
+        ordered = state.repartitionByRange(ranges, "size", "kind", "key").sortWithinPartitions("size", "kind", "key")
+        swept = cut(ordered.mapInArrow(_sweep, SWEPT))
+        left: dict[int, dict[int, int]] = {UNIT: {}, GAP: {}}
+        for r in swept.where("range IS NOT NULL").groupBy("kind", "range").count().collect():  # two numbers for each range
+            left[r["kind"]][r["range"]] = r["count"]
+        pairs = settle(left[UNIT], left[GAP])
+        alone = swept.where("range IS NOT NULL").mapInArrow(_paired(pairs), SWEPT + ", pair bigint")
+        matched = swept.where("range IS NULL").select("size", "key", "container", "left")
+        if pairs:
+            met = alone.where("pair IS NOT NULL")
+            gaps = met.where(F.col("kind") == GAP).select("pair", F.col("key").alias("container"), F.col("size").alias("gap"))
+            met = met.where(F.col("kind") == UNIT).select("pair", "size", "key").join(gaps, "pair")
+            matched = matched.unionByName(met.select("size", "key", "container", (F.col("gap") - F.col("size")).cast("int").alias("left")))
+        if sum(left[UNIT].values()) == rows["units"]:
+            # No gap took a unit within its range; none could from another range either, unless there are pairs.
+            matched = matched if pairs else None
+        if matched is None:
+            number = -(-rows["tokens"] // capacity)
+            # Units are ranked from the largest: those of higher ranges come first.
+            higher, total = {}, 0
+            for place in sorted(left[UNIT], reverse=True):
+                higher[place], total = total, total + left[UNIT][place]
+            before = F.create_map(*(F.lit(x) for pair in higher.items() for x in pair))
+            ranked = alone.withColumn("place", F.when(F.col("kind") == UNIT, before[F.col("range")] + F.col("rank")))
+            matched = ranked.where(F.col("place") < number).select("size", "key", (F.col("place") + opened).alias("container"), (F.lit(capacity) - F.col("size")).cast("int").alias("left"))
+            alone = ranked.where(F.col("place").isNull() | (F.col("place") >= number))
+            opened += number
+        matched = cut(matched)
+        done.append(matched.select(F.col("key").alias("unit"), "container"))
+        kept = alone.where("pair IS NULL").select("size", "kind", "key")
+        state = cut(kept.unionByName(matched.where("left > 0").select(F.col("left").alias("size"), F.lit(GAP).alias("kind"), F.col("container").alias("key"))))
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "unit bigint, container bigint")
+
+
+def fill_containers(parts: DataFrame, id_col: str, capacity: int = CAPACITY) -> DataFrame:
+    """``parts`` (id_col, part, start, tokens) with the number of the ``container`` of each."""
+    parts = cut(bundled(parts.select(id_col, "part", "start", "tokens"), capacity))
+    units = parts.groupBy("unit").agg(F.sum("tokens").alias("size"))
+    return parts.join(place_units(units, capacity), "unit").select(id_col, "part", "start", "tokens", "container")
 
 
 def p8_assignment(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -341,6 +341,58 @@ def test_plan_is_best_fit_decreasing(sizes):
     assert ranks == counts and (len(used), sorted(30 - u for u in used.values())) == simple_best_fit(sizes, 30)
 
 
+def simple_steps(sizes, capacity):
+    """The steps over (size, key), written out: the largest unit below each gap, from the smallest gap on."""
+    units, gaps, opened, out = sorted(sizes), [], 0, {}
+    while units:
+        free, after = list(units), []
+        for gap, container in sorted(gaps):
+            fitting = [u for u in free if u[0] <= gap]
+            if fitting:
+                free.remove(fitting[-1])
+                out[fitting[-1][1]] = container
+                gap -= fitting[-1][0]
+            after += [(gap, container)] if gap else []
+        if len(free) == len(units):
+            for _ in range(-(-sum(s for s, _ in units) // capacity)):
+                size, key = free.pop()
+                out[key] = opened
+                after += [(capacity - size, opened)] if size < capacity else []
+                opened += 1
+        units, gaps = free, after
+    return out
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=60))
+def test_finish_follows_the_steps(sizes):
+    units = [(s, k) for k, s in enumerate(sizes)]
+    assert dict(containers.finish(units, [], 30, 0)) == simple_steps(units, 30)
+
+
+@pytest.mark.parametrize("sizes", [[random.Random(3).randint(1, 60) for _ in range(400)], [20] * 90, [31] * 40 + [5] * 60])
+def test_distributed_steps_equal_the_written_ones(spark, monkeypatch, sizes):
+    monkeypatch.setattr(containers, "REST", 3)
+    units = [(s, k) for k, s in enumerate(sizes)]
+    got = containers.place_units(spark.createDataFrame(units, "size int, unit bigint"), 60)
+    assert {r.unit: r.container for r in got.collect()} == simple_steps(units, 60)
+
+
+def test_packing_is_near_best_fit_decreasing():
+    rng = random.Random(7)
+    sizes = [min(4096, int(rng.lognormvariate(6.5, 1)) + 1) for _ in range(3_000)]
+    used = len({c for _, c in containers.finish([(s, k) for k, s in enumerate(sizes)], [], 4096, 0)})
+    best = max(first + -(-items // each) for _, _, items, first, each in containers.plan_containers(Counter(sizes), 4096))
+    assert used <= best + 2
+
+
+def test_small_parts_are_bundled(spark):
+    parts = spark.createDataFrame([(k, 0, 0, 1 + k % 3) for k in range(3_000)] + [(9_000, 0, 0, 4_096)], "doc_id bigint, part int, start bigint, tokens int")
+    got = containers.fill_containers(parts, "doc_id")
+    used = got.groupBy("container").agg(F.sum("tokens").alias("n")).collect()
+    assert got.select("doc_id").distinct().count() == 3_001 and max(r.n for r in used) <= 4_096 and len(used) == 3
+
+
 def test_containers(spark):
     sizes = [(k, 7) for k in range(30)] + [(100, 25), (101, 0), (102, None), (103, 10), (104, 3)]
     df = spark.createDataFrame(sizes, "doc_id bigint, tokens bigint")
