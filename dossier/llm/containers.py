@@ -37,7 +37,7 @@ CAPACITY = 4096
 #: Parts below this share of the capacity are bundled until they reach it, so that the number of steps doesn't depend on them.
 SMALL = 1 / 256
 #: Rows (units and gaps) that one task may sweep to the end.
-REST = 5_000
+REST = 20_000
 UNIT, GAP = 0, 1
 
 
@@ -167,27 +167,18 @@ def settle(units: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int,
     return out
 
 
-def _paired(pairs: list[tuple[int, int, int, int, int]]):
-    """Adds the number of the pair that a row left over belongs to; null where it stays alone."""
-    base = np.cumsum([0, *(p[4] for p in pairs)])
-    sides = []
-    for kind, place, rank in ((UNIT, 0, 1), (GAP, 2, 3)):
-        order = sorted(range(len(pairs)), key=lambda k: (pairs[k][place], pairs[k][rank]))
-        sides.append((kind, [(pairs[k][place], pairs[k][rank], pairs[k][4], int(base[k])) for k in order]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers: list[int | None] = [None] * batch.num_rows
-            kinds, ranges, ranks = (batch.column(k).to_pylist() for k in (1, 5, 6))
-            for kind, spans in sides:
-                for n in range(batch.num_rows):
-                    if kinds[n] == kind:
-                        k = bisect_left(spans, (ranges[n], ranks[n] + 1)) - 1
-                        if k >= 0 and spans[k][0] == ranges[n] and ranks[n] < spans[k][1] + spans[k][2]:
-                            numbers[n] = spans[k][3] + ranks[n] - spans[k][1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "pair"])
-
-    return run
+def _paired(alone: DataFrame, pairs: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """``alone`` with the number of the ``pair`` that each row belongs to; null where it stays without one."""
+    base = np.cumsum([0, *(p[4] for p in pairs)]).tolist()
+    spans = [(UNIT, p[0], p[1], p[4], n) for p, n in zip(pairs, base)] + [(GAP, p[2], p[3], p[4], n) for p, n in zip(pairs, base)]
+    names = ("__kind", "__range", "__first", "__number", "__base")
+    if not spans:
+        return alone.withColumn("pair", F.lit(None).cast("bigint"))
+    small = alone.sparkSession.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*spans))}))
+    ahead = F.col("rank") - F.col("__first")
+    inside = (F.col("kind") == F.col("__kind")) & (F.col("range") == F.col("__range")) & (ahead >= 0) & (ahead < F.col("__number"))
+    # At most four rows for each range.
+    return alone.join(F.broadcast(small), inside, "left").withColumn("pair", F.col("__base") + ahead).drop(*names)
 
 
 def finish(sizes: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity: int, opened: int) -> list[tuple[int, int]]:
@@ -246,7 +237,7 @@ def place_units(units: DataFrame, capacity: int) -> DataFrame:
         for r in swept.where("range IS NOT NULL").groupBy("kind", "range").count().collect():  # two numbers for each range
             left[r["kind"]][r["range"]] = r["count"]
         pairs = settle(left[UNIT], left[GAP])
-        alone = swept.where("range IS NOT NULL").mapInArrow(_paired(pairs), SWEPT + ", pair bigint")
+        alone = _paired(swept.where("range IS NOT NULL"), pairs)
         matched = swept.where("range IS NULL").select("size", "key", "container", "left")
         if pairs:
             met = alone.where("pair IS NOT NULL")
@@ -267,10 +258,10 @@ def place_units(units: DataFrame, capacity: int) -> DataFrame:
             matched = ranked.where(F.col("place") < number).select("size", "key", (F.col("place") + opened).alias("container"), (F.lit(capacity) - F.col("size")).cast("int").alias("left"))
             alone = ranked.where(F.col("place").isNull() | (F.col("place") >= number))
             opened += number
-        matched = cut(matched)
+        matched = cut(matched.coalesce(ranges))
         done.append(matched.select(F.col("key").alias("unit"), "container"))
         kept = alone.where("pair IS NULL").select("size", "kind", "key")
-        state = cut(kept.unionByName(matched.where("left > 0").select(F.col("left").alias("size"), F.lit(GAP).alias("kind"), F.col("container").alias("key"))))
+        state = cut(kept.unionByName(matched.where("left > 0").select(F.col("left").alias("size"), F.lit(GAP).alias("kind"), F.col("container").alias("key"))).coalesce(ranges))
     return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "unit bigint, container bigint")
 
 
