@@ -161,19 +161,27 @@ def _questions(spark) -> DataFrame:
 @query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 20")
 def q_bm25_topk(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
-    post = search.postings(documents, "doc_id", "text")
-    scores = search.bm25(post, _questions(spark), documents).withColumn("score", F.round("score", 9))
-    return search.ranked(scores, 20).select("query_id", F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"))
+    return search.bm25_topk(documents, _questions(spark), 20, "doc_id").select("query_id", F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"))
 
 
-@query(f"""WITH {BM25}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 30),
-    b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score / (1 + n_chars), 9) DESC, doc_id) AS rank FROM bm JOIN documents USING (doc_id) QUALIFY rank <= 30)
+VECTORS = "pts AS (SELECT doc_id, embedding FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings))"
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    """Every document with its text and a vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return cut(documents.withColumn("vec_id", F.pmod("id", F.lit(vectors.count()))).join(vectors, "vec_id").drop("vec_id"))
+
+
+@query(f"""WITH {BM25}, {VECTORS}, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm QUALIFY rank <= 30),
+    d AS (SELECT q.vec_id AS query_id, doc_id, coalesce(round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9), 0) AS score FROM embeddings q, pts p WHERE q.vec_id IN (1, 2, 3)),
+    b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM d QUALIFY rank <= 30)
     SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY query_id, doc_id""")
 def q_rrf_fusion(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
-    scores = cut(search.bm25(search.postings(documents, "doc_id", "text"), _questions(spark), documents))
-    dense = scores.join(documents.select(F.col("doc_id").alias("id"), "n_chars"), "id").withColumn("score", F.round(F.col("score") / (1 + F.col("n_chars")), 9))
-    fused = search.fuse(search.ranked(scores.withColumn("score", F.round("score", 9)), 30), search.ranked(dense, 30))
+    points = _points(spark, sf_dir)
+    asked = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("query_id"), "embedding").where("query_id IN (1, 2, 3)")
+    fused = search.fuse(search.bm25_topk(points, _questions(spark), 30), search.dense_topk(points, asked, 30))
     return fused.select("query_id", F.col("id").alias("doc_id"), r6(F.col("score")).alias("score"))
 
 
@@ -549,13 +557,33 @@ def q_document_relations(spark, sf_dir):
     return validate.document_relations(proposals, chunks, owners)
 
 
-@query()
+HYBRID = f"""{VECTORS}, words AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+    post AS (SELECT doc_id, term, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM words) GROUP BY doc_id, term),
+    idf AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY term),
+    bm AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.l / 256.0))), 9) AS score FROM post q JOIN post p USING (term) JOIN idf USING (term) WHERE q.doc_id % 100 = 0 GROUP BY ALL),
+    de AS (SELECT q.doc_id AS query_id, p.doc_id, coalesce(round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9), 0) AS score FROM pts q, pts p WHERE q.doc_id % 100 = 0),
+    al AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 30 UNION ALL SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM de QUALIFY r <= 30)
+    fu AS (SELECT query_id, doc_id, sum(1.0 / (60 + r)) AS score FROM al GROUP BY query_id, doc_id)
+    SELECT query_id, doc_id AS id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id)::INT AS rank FROM fu QUALIFY rank <= 10"""
+
+
+@query(f"WITH {HYBRID}")
 def q_hybrid(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    points = cut(documents.withColumn("vec_id", F.pmod("id", F.lit(vectors.count()))).join(vectors, "vec_id").drop("vec_id"))
-    asked = points.where("id % 100 = 0").select(F.col("id").alias("query_id"), "text", "embedding")
-    return search.search(points, cut(search.postings(points)), asked, "auto", 10).select("query_id", "id", r6(F.col("score")).alias("score"), "rank")
+    """Every document is a point, and every one whose id is divisible by 100 asks, with its whole text and its vector."""
+    points = _points(spark, sf_dir)
+    asked = points.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return search.search(points, asked, "auto", 10).select("query_id", "id", r6(F.col("score")).alias("score"), "rank")
+
+
+@query()
+def q_index_recall(spark, sf_dir):
+    """How many of the ten nearest points of each question the inverted-file index finds; questions are the ids divisible by 100, points all rows."""
+    points = cut(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+    cells = search.fit_cells(points)
+    asked = points.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    found = search.indexed_topk(cut(search.index_cells(points, cells)), cells, asked, 10).select("query_id", "id", F.lit(1).alias("hit"))
+    exact = search.dense_topk(points, asked, 10).select("query_id", "id")
+    return exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 @query()

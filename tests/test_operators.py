@@ -1,6 +1,7 @@
 import math
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,9 @@ def rows(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
+rows_of = rows
+
+
 def test_dense_search(spark):
     points = spark.createDataFrame([("a", [1.0, 0.0], "x"), ("b", [0.0, 0.0], "x"), ("c", [1.0, 0.0], "y")], "id string, embedding array<float>, status string")
     asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
@@ -26,12 +30,58 @@ def test_dense_search(spark):
 def test_hybrid_modes(spark):
     points = spark.createDataFrame([("a", "hồ sơ đất", [1.0, 0.0]), ("b", "thuế phí", [0.0, 1.0]), ("c", None, [0.5, 0.5])], "id string, text string, embedding array<float>")
     asked = spark.createDataFrame([(1, "thuế", [1.0, 0.0])], "query_id int, text string, embedding array<float>")
-    post = search.postings(points)
-    assert [r.id for r in search.search(points, post, asked, "bm25").collect()] == ["b"]
-    assert {r.id for r in search.search(points, post, asked).collect()} == {"a", "b", "c"}
-    assert search.search(points, post, asked, "hybrid", predicate=F.col("id") == "zzz").count() == 0
+    assert [r.id for r in search.search(points, asked, "bm25").collect()] == ["b"]
+    assert {r.id for r in search.search(points, asked).collect()} == {"a", "b", "c"}
+    assert search.search(points, asked, "hybrid", predicate=F.col("id") == "zzz").count() == 0
+    assert search.search(points, asked.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        search.search(points.drop("text"), asked, "bm25")
     with pytest.raises(ValueError):
-        search.search(points, None, asked, "bm25")
+        search.search(points, asked, "best")
+
+
+def test_block_search_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUESTION_BLOCK", 7)
+    monkeypatch.setattr(search, "POINT_ROWS", 9)
+    rng = np.random.default_rng(4)
+    vectors = [rng.normal(size=6).round(1).tolist() for _ in range(60)] + [[0.0] * 6, None, [1.0, None, 0.0, 0.0, 0.0, 0.0]]
+    vectors += vectors[:20]  # ties
+    words = [" ".join(f"w{k}" for k in rng.integers(0, 25, size=rng.integers(0, 12))) for _ in vectors[:-1]] + [None]
+    rows = [(k, v, w) for k, (v, w) in enumerate(zip(vectors, words))]
+    points = spark.createDataFrame(rows, "id int, embedding array<double>, text string").repartition(5)
+    asked = points.where("id % 4 = 0").withColumnRenamed("id", "query_id")
+    full = np.array([[x or 0.0 for x in v] if v else [0.0] * 6 for v in vectors])
+    norms = np.linalg.norm(full, axis=1, keepdims=True)
+    unit = np.divide(full, norms, out=np.zeros_like(full), where=norms > 0)
+    expected = []
+    for q in range(0, len(rows), 4):
+        scores = (unit @ unit[q]).round(9)
+        expected += [(q, p, n) for n, p in enumerate(sorted(range(len(rows)), key=lambda p: (-scores[p], p))[:5], 1)]
+    assert rows_of(search.dense_topk(points, asked, 5), "query_id", "id", "rank") == sorted(expected)
+    texts = [(w or "").split() for w in words]
+    df = {t: sum(t in w for w in texts) for w in texts for t in w}
+    expected = []
+    for q in range(0, len(rows), 4):
+        scores = {}
+        for p, own in enumerate(texts):
+            for t in set(texts[q]) & set(own):
+                tf = own.count(t)
+                scores[p] = scores.get(p, 0) + math.log(1 + (len(rows) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(own) / 256))
+        expected += [(q, p, n) for n, p in enumerate(sorted(scores, key=lambda p: (-round(scores[p], 9), p))[:5], 1)]
+    assert rows_of(search.bm25_topk(points, asked, 5), "query_id", "id", "rank") == sorted(expected)
+
+
+def test_index_recall(spark):
+    rng = np.random.default_rng(5)
+    middles = rng.normal(size=(20, 8))
+    points = spark.createDataFrame([(k, (middles[k % 20] + 0.3 * rng.normal(size=8)).tolist()) for k in range(3_000)], "id int, embedding array<double>")
+    cells = search.fit_cells(points, cells=20, sample=1_000)
+    index = search.index_cells(points, cells)
+    asked = points.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    found = set(rows_of(search.indexed_topk(index, cells, asked, 10), "query_id", "id"))
+    exact = set(rows_of(search.dense_topk(points, asked, 10), "query_id", "id"))
+    assert index.count() == 3_000 and cells.probes < 10 and len(found & exact) >= 0.9 * len(exact)
+    assert search.indexed_topk(index.limit(0), cells, asked, 10).count() == 0 and search.fit_cells(points.limit(0)).probes == 1
 
 
 def test_fusion_and_page(spark):
