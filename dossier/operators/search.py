@@ -160,7 +160,7 @@ class Cells:
         return np.argsort(-(rows @ self.centroids.T), axis=1, kind="stable")[:, :number]
 
 
-def fit_cells(points: DataFrame, vector: str = "embedding", cells: int = 64, sample: int = 20_000, recall: float = 0.9, k: int = 10, rounds: int = 12) -> Cells:
+def fit_cells(points: DataFrame, vector: str = "embedding", cells: int = 64, sample: int = 20_000, recall: float = 0.97, k: int = 10, rounds: int = 12) -> Cells:
     """Cells fitted by spherical k-means on at most ``sample`` points (the least hashes of their vectors).
 
     ``probes`` is the least number of cells that finds ``recall`` of the ``k`` nearest of 200 points of the sample within it.

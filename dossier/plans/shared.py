@@ -2,22 +2,41 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow side may be broadcast; beyond it a shuffle join is used.
-BROADCAST_ROWS = 500_000
+#: Rows up to which a narrow side may be broadcast, and bytes of its widest row times its rows; beyond either a shuffle join is used.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+
+
+#: The own folder of a local session that names none.
+_own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where the session names none (tests, local mode) an own one."""
+    """The folder of ``spark.checkpoint.dir``; only a local session that names none (tests) gets an own one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='dossier-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='dossier-')}"
+        atexit.register(shutil.rmtree, _own[context.applicationId].removeprefix("file://"), ignore_errors=True)
+    return _own[context.applicationId]
+
+
+def spill_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that a task may spill to, '' where the shared folder is no file system path."""
+    scheme, mark, path = shared_folder(spark).partition(":")
+    path = path if mark else scheme
+    return re.sub("^/+", "/", path) + "/spill" if not mark or scheme == "file" else ""
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -30,9 +49,10 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int) -> DataFrame:
-    """Join that broadcasts ``right`` only if its counted ``rows`` are within BROADCAST_ROWS."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int, row_bytes: int = 64) -> DataFrame:
+    """Join that broadcasts ``right`` only if its counted ``rows`` (of at most about ``row_bytes``) are within the bounds."""
+    small = rows <= BROADCAST_ROWS and rows * row_bytes <= BROADCAST_BYTES
+    return left.join(F.broadcast(right) if small else right, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +75,5 @@ def earliest_rows(df: DataFrame, key: str = "id", order: str = "loaded_at") -> D
         .agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__keep"))
         .where("__n > 1").select("__key", "__keep")
     )
-    joined = join_checked(df.withColumn("__place", place), again, F.col(key) == F.col("__key"), "left", again.count())
+    joined = join_checked(df.withColumn("__place", place), again, F.col(key) == F.col("__key"), "left", again.count(), 400)
     return joined.where(F.col("__key").isNull() | (F.col("__place") == F.col("__keep"))).drop("__key", "__keep", "__place")

@@ -562,7 +562,7 @@ HYBRID = f"""{VECTORS}, words AS (SELECT doc_id, regexp_extract_all(lower(coales
     idf AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY term),
     bm AS (SELECT q.doc_id AS query_id, p.doc_id, round(sum(idf * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.l / 256.0))), 9) AS score FROM post q JOIN post p USING (term) JOIN idf USING (term) WHERE q.doc_id % 100 = 0 GROUP BY ALL),
     de AS (SELECT q.doc_id AS query_id, p.doc_id, coalesce(round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9), 0) AS score FROM pts q, pts p WHERE q.doc_id % 100 = 0),
-    al AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 30 UNION ALL SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM de QUALIFY r <= 30)
+    al AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 30 UNION ALL SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM de QUALIFY r <= 30),
     fu AS (SELECT query_id, doc_id, sum(1.0 / (60 + r)) AS score FROM al GROUP BY query_id, doc_id)
     SELECT query_id, doc_id AS id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id)::INT AS rank FROM fu QUALIFY rank <= 10"""
 
@@ -577,13 +577,13 @@ def q_hybrid(spark, sf_dir):
 
 @query()
 def q_index_recall(spark, sf_dir):
-    """How many of the ten nearest points of each question the inverted-file index finds; questions are the ids divisible by 100, points all rows."""
+    """How many of the ten nearest points of all questions the inverted-file index finds; questions are the ids divisible by 100, points all rows."""
     points = cut(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
     cells = search.fit_cells(points)
     asked = points.where("id % 100 = 0").withColumnRenamed("id", "query_id")
     found = search.indexed_topk(cut(search.index_cells(points, cells)), cells, asked, 10).select("query_id", "id", F.lit(1).alias("hit"))
     exact = search.dense_topk(points, asked, 10).select("query_id", "id")
-    return exact.join(found, ["query_id", "id"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+    return exact.join(found, ["query_id", "id"], "left").agg(F.count(F.lit(1)).alias("pairs"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 @query()
