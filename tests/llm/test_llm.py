@@ -277,6 +277,25 @@ def test_terms_equal_brute_force(spark):
     assert terms.marked_terms(terms.term_counts(df.limit(0))).count() == 0
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab Ạạіo_1²\u0301\u200b\x00Σİ😀𝒳-", max_size=30), max_size=5))
+def test_word_rows_equal_words(texts):
+    joined, words = terms._word_rows(texts)
+    found = [[] for _ in texts]
+    for text, a, b in zip(*(words.column(c).to_pylist() for c in "dab")):
+        found[text].append(joined[a:b])
+    assert found == [terms.words_of(t) if t else [] for t in texts]
+
+
+def test_leaves_spill_to_the_shared_folder(spark, monkeypatch, tmp_path):
+    """More words than fit into the memory of a task's tables."""
+    monkeypatch.setattr(terms, "MEMORY", "16MB")
+    reduce = terms._reduce(str(tmp_path))
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"t{n}"] * 20), pa.array([" ".join(f"w{n}x{k}x{j}" for j in range(1_500)) for k in range(20)])], names=["t", "x"]) for n in range(12)]
+    rows_ = [r for batch in reduce(iter(batches)) for r in batch.to_pylist()]
+    assert len(rows_) == 1 + 12 + 12 * 20 * 1_500 and rows_[0]["holders"] == 240 and not list(tmp_path.iterdir())
+
+
 # --- Problem 7
 
 
