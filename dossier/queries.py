@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dossier.functions import text as X
+from dossier.functions import textform
 from dossier.operators import candidates, chunking, evaluate, graph, heavy, orphans, retrieve, search, tfidf, validate
 from dossier.plans.settings import Expansion
 from dossier.plans.shared import cut, earliest_rows, table
@@ -38,6 +39,16 @@ def _number(c: str) -> str:
     return rf"regexp_replace(regexp_replace(upper(coalesce({c}, '')), '^[ .,;:()\[\]]+|[ .,;:()\[\]]+$', '', 'g'), '{WS}+', '', 'g')"
 
 
+def _number_key(c: str) -> str:
+    """The key of a written number in SQL; look-alike letters are replaced as in words that have Latin letters."""
+    one = {k: v for k, v in (textform.single_map() | textform.mixed_map()).items() if len(v) == 1}
+    gone = "".join(f"\\x{{{ord(k):X}}}" for k, v in textform.single_map().items() if not v)
+    quoted = lambda chars: "'" + "".join(chars).replace("'", "''") + "'"
+    drawn = f"translate(regexp_replace({c}, '[{gone}]', '', 'g'), {quoted(one)}, {quoted(one.values())})"
+    dashed = f"regexp_replace(upper(nfc_normalize({drawn})), '[\\p{{Pd}}−]', '-', 'g')"
+    return f"trim(regexp_replace({dashed}, '{WS}+', '', 'g'), '.,;:()[]')"
+
+
 def query(sql: str | None = None):
     """Register a function as the query of its name, with its SQL where SQL can say it."""
 
@@ -50,6 +61,22 @@ def query(sql: str | None = None):
     return add
 
 
+ORPHANS = f"""loaded AS (SELECT id, min(loaded_at) AS since FROM legal_document WHERE id IS NOT NULL GROUP BY id),
+    states AS (SELECT document_id AS id, index_status, changed_at, lead(changed_at) OVER (PARTITION BY document_id ORDER BY changed_at, index_status) AS until FROM ingest_state WHERE changed_at IS NOT NULL),
+    present AS (SELECT id, since, (SELECT min(changed_at) FROM states s WHERE s.id = l.id) AS until FROM loaded l
+      UNION ALL SELECT id, greatest(since, changed_at), until FROM loaded JOIN states USING (id) WHERE index_status IS DISTINCT FROM 'removed'),
+    keys AS (SELECT DISTINCT id, {_number_key('number')} AS key FROM legal_document WHERE id IS NOT NULL AND number IS NOT NULL),
+    instruments AS (SELECT {_number_key('number_norm')} AS key FROM instrument),
+    mentions AS (SELECT mention_id, {_number_key('number_norm')} AS key, extracted_at AS t FROM mention),
+    chunks AS (SELECT id AS chunk_id, regexp_replace(document_id, '^{WS}+|{WS}+$', '', 'g') AS key, indexed_at AS t FROM document_chunk),
+    orphans AS (SELECT DISTINCT 'document_chunk' AS table_name, chunk_id AS ref_id, strftime(t, '%Y-%m') AS period FROM chunks c WHERE key <> '' AND t IS NOT NULL AND chunk_id IS NOT NULL
+        AND NOT EXISTS (SELECT 1 FROM present p WHERE p.id = c.key AND p.since <= t AND (p.until IS NULL OR t < p.until))
+      UNION SELECT 'mention', mention_id::VARCHAR, strftime(t, '%Y-%m') FROM mentions m WHERE key <> '' AND t IS NOT NULL AND key NOT IN (SELECT key FROM instruments)
+        AND NOT EXISTS (SELECT 1 FROM keys k JOIN present p USING (id) WHERE k.key = m.key AND p.since <= t AND (p.until IS NULL OR t < p.until)))"""
+ORACLES["p5_found"] = f"WITH {ORPHANS} SELECT * FROM orphans"
+ORACLES["p5_periods"] = f"WITH {ORPHANS} SELECT table_name, period, count(*) AS orphans FROM orphans GROUP BY ALL"
+
+
 def r6(c: Column) -> Column:
     return F.round(c, 6)
 
