@@ -283,3 +283,12 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     filled = p8_assignment(spark, sf_dir).groupBy("container").agg(F.sum("tokens").alias("tokens"))
     total = filled.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.max("tokens").alias("largest"))
     return total.withColumn("unused_share", F.round(1 - F.col("tokens") / (F.col("containers") * CAPACITY), 6))
+
+
+def p8_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(documents, overfull, split_without_need): assigned documents, containers above the capacity, and documents split although they fit."""
+    rows = cut(p8_assignment(spark, sf_dir))
+    overfull = rows.groupBy("container").agg(F.sum("tokens").alias("n")).agg(F.count_if(F.col("n") > CAPACITY).cast("int").alias("overfull"))
+    each = rows.groupBy("doc_id").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("parts"))
+    each = each.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") <= CAPACITY) & (F.col("parts") > 1)).cast("int").alias("split_without_need"))
+    return each.crossJoin(overfull)

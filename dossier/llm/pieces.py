@@ -4,7 +4,7 @@ Lexical-cohesion segmentation: a text's possible cuts are its heading starts, se
 ends and line ends.  At each of them the words of a block before and a block after are
 compared (cosine of word counts); low similarity between two higher neighbours is a
 valley, and its depth is the sum of both rises.  Within each size window the cut is the
-deepest valley, headings before sentences of equal depth; a window without such places
+deepest valley, where the start of a heading counts as HEADING deeper; a window without such places
 is cut at a blank, and one without blanks at the limit.  Each piece but the first begins
 with the last characters of the piece before, fewer only to begin at a word.
 
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from dossier.plans.shared import table
 
 DOCUMENT_LIMIT, CHUNK_LIMIT, OVERLAP = 8_000, 1_800, 250
+#: What a heading adds to the depth of its valley (depths go up to 2).
+HEADING = 0.2
 #: Words compared on either side of a possible cut.
 BLOCK = 60
 #: A window's cut lies beyond this share of the limit, so that pieces don't become small.
@@ -88,7 +90,7 @@ def cut_text(text: str, limit: int, overlap: int = OVERLAP) -> list[tuple[int, i
                 break
             window.append(natural[k])
         if window:
-            end = max(window, key=lambda b: (b[1] + 0.2 * b[2], b[0]))[0]
+            end = max(window, key=lambda b: (b[1] + HEADING * b[2], b[0]))[0]
         else:
             blank = max((text.rfind(c, least, start + limit) for c in " \n\t "), default=-1)
             end = blank + 1 if blank >= least else start + limit
@@ -132,3 +134,19 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).where("piece > 0").select("table_name", "item_id").distinct()
+
+
+def p3_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(table_name, item_id, chars, whole) of each text that was cut: its length, and whether its pieces cover it.
+
+    They do if each begins where the one before ends or up to OVERLAP characters earlier, and none is over the limit.
+    """
+    pieces = p3_pieces(spark, sf_dir)
+    limit = F.when(F.col("table_name") == "legal_document", DOCUMENT_LIMIT).otherwise(CHUNK_LIMIT)
+    # A text's pieces follow one another, so a piece and its follower meet under the follower's number.
+    item = ["table_name", "item_id"]
+    links = pieces.select(*item, "piece", F.col("start_pos").alias("begin"), F.lit(None).cast("int").alias("end"), F.lit(True).alias("fits"))
+    before = pieces.select(*item, (F.col("piece") + 1).alias("piece"), F.lit(None).cast("int").alias("begin"), F.col("end_pos").alias("end"), (F.length("text") <= limit).alias("fits"))
+    met = links.unionByName(before).groupBy(*item, "piece").agg(F.max("begin").alias("begin"), F.max("end").alias("end"), F.min("fits").alias("fits"))
+    joined = F.when(F.col("begin").isNull(), True).when(F.col("end").isNull(), F.col("begin") == 0).otherwise((F.col("begin") <= F.col("end")) & (F.col("end") - F.col("begin") <= OVERLAP))
+    return met.groupBy(*item).agg(F.max("end").alias("chars"), F.min(joined & F.col("fits")).alias("whole"))
