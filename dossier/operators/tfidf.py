@@ -54,9 +54,10 @@ def fit_or_relax(texts: DataFrame, grams: Column, **options) -> DataFrame:
     return fit(texts, grams, **(options | {"min_df": 1, "max_df": 1.0}))
 
 
-def similar_pairs(weights: DataFrame, group: DataFrame | None = None) -> DataFrame:
-    """(source_id, target_id, score) of all rows that share a term; ``group`` (id, document_id) leaves out pairs within a document."""
-    left = weights.select(F.col("id").alias("source_id"), "term", F.col("w").alias("a"))
+def similar_pairs(weights: DataFrame, group: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(source_id, target_id, score) of all rows that share a term; ``group`` (id, document_id) leaves out pairs within a document, ``sources`` (document_id) is the query set."""
+    asked = weights if sources is None else weights.join(group.join(sources, "document_id", "left_semi").select("id"), "id", "left_semi")
+    left = asked.select(F.col("id").alias("source_id"), "term", F.col("w").alias("a"))
     right = weights.select(F.col("id").alias("target_id"), "term", F.col("w").alias("b"))
     scored = left.join(right, "term").where("source_id <> target_id").groupBy("source_id", "target_id").agg(F.sum(F.col("a") * F.col("b")).alias("score"))
     if group is not None:

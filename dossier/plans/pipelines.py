@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -45,6 +47,43 @@ def answer(selected: DataFrame, questions: DataFrame, chat: Chat) -> DataFrame:
     return retrieve.checked_answers(prompts.join(said.select("key", F.col("raw").alias("answer")), "key").select("query_id", "answer", "labels"))
 
 
+def quoting_responder(asked: list[str]) -> list[str]:
+    """A deterministic stand-in for a model: proposes that the source sets a condition for the target, quoting the beginning of both."""
+    out = []
+    for request in map(json.loads, asked):
+        by = {c["article_id"]: c for c in request["chunks"]}
+        if len(by) < 2:
+            out.append("{}")
+            continue
+        source, target = by[request["source_id"]], by[request["target_id"]]
+        quotes = [" ".join(c["body"].split(" ")[:12]) for c in (source, target)]
+        bridge = {"source_quote": quotes[0], "target_quote": quotes[1], "explanation": "the first quote states when the second one applies"}
+        relation = {"source_id": request["source_id"], "target_id": request["target_id"], "kind": "SETS_CONDITION_FOR", "source_chunk_id": source["chunk_id"], "target_chunk_id": target["chunk_id"]}
+        relation |= {"evidence": source["body"], "target_evidence": target["body"], "confidence": "0.9", "bridge": bridge}
+        out.append(json.dumps({"relations": [relation], "facts": []}, ensure_ascii=False))
+    return out
+
+
+def embed_chunks(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], dimension: int, progress: Callable[[int], None] | None = None) -> DataFrame:
+    """(id, embedding) of chunks (id, text), one model call for each Arrow batch; null texts count as empty.
+
+    A response of another length or dimension, or with values that aren't finite, is an error.  ``progress`` is told, where
+    the batch is, how many rows it had.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            vectors = model([t or "" for t in frame["text"]])
+            if len(vectors) != len(frame) or any(len(v) != dimension or not all(map(math.isfinite, v)) for v in vectors):
+                raise ValueError(f"the model gave {len(vectors)} vectors for {len(frame)} texts, or some of another dimension than {dimension}")
+            if progress:
+                progress(len(frame))
+            yield pd.DataFrame({"id": frame["id"], "embedding": vectors})
+
+    kind = chunks.schema["id"].dataType.simpleString()
+    return chunks.select("id", "text").mapInPandas(run, f"id {kind}, embedding array<float>")
+
+
 def response_schema(chunk_aliases: list[str], relations: int = 2, facts: int = 3) -> dict:
     """JSON schema of a response: only these chunk aliases, and at most so many relations and facts."""
     if not chunk_aliases or relations < 1 or facts < 0:

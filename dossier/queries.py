@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from dossier.functions import text as X
 from dossier.functions import textform
 from dossier.operators import candidates, chunking, evaluate, graph, heavy, orphans, retrieve, search, tfidf, validate
+from dossier.plans import articles, pipelines
 from dossier.plans.settings import Expansion
 from dossier.plans.shared import cut, earliest_rows, table
 from dossier.sources import sinks
@@ -367,12 +368,29 @@ def q_reference_candidates(spark, sf_dir):
     return candidates.reference_candidates(table(spark, sf_dir, "mention").select("document_id", "number_norm"), graph.unique_owners(_identifiers(spark, sf_dir)))
 
 
-@query()
+SHORTLIST = f"""{ENTITY}, {MERGED}, dv AS (SELECT DISTINCT id, embedding FROM legal_document JOIN embeddings ON vec_id = coalesce(try_cast(regexp_replace(id, '[^0-9]', '', 'g') AS BIGINT), 0) % (SELECT count(*) FROM embeddings) WHERE id IS NOT NULL),
+    cap AS (SELECT a.document_id AS source_id, b.document_id AS target_id, etype, entity_key FROM ent a JOIN ent b USING (etype, entity_key) WHERE a.document_id <> b.document_id
+      QUALIFY row_number() OVER (PARTITION BY a.document_id, etype, entity_key ORDER BY b.document_id) <= 5),
+    en AS (SELECT source_id, target_id, count(*)::DOUBLE AS score FROM cap GROUP BY source_id, target_id QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY count(*) DESC, target_id) <= 20),
+    near AS (SELECT q.id AS source_id, p.id AS target_id, coalesce(round(list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]), 9), 0) AS score FROM dv q, dv p),
+    top AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) <= 21),
+    dense AS (SELECT source_id, target_id, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM top WHERE source_id <> target_id QUALIFY rank <= 20),
+    merged AS (SELECT source_id, target_id, max(explicit) AS explicit, max(shared) AS shared, max(rank_score) AS rank_score FROM (
+      SELECT source_id, target_id, true AS explicit, 0.0 AS shared, 0.0 AS rank_score FROM refs UNION ALL SELECT source_id, target_id, false, score, 0.0 FROM en
+      UNION ALL SELECT source_id, target_id, false, 0.0, 1.0 / (60 + rank) FROM dense) GROUP BY ALL),
+    listed AS (SELECT *, row_number() OVER (PARTITION BY source_id, explicit ORDER BY rank_score DESC, shared DESC, target_id) AS place FROM merged),
+    short AS (SELECT source_id, target_id, explicit, round(rank_score, 6) AS rank_score, place FROM listed WHERE explicit OR place <= 5)"""
+
+
+@query(f"WITH {SHORTLIST} SELECT * FROM short")
 def q_candidate_shortlist(spark, sf_dir):
+    """All documents ask: shared entities, mentioned numbers, and the nearest vectors among all documents."""
     reference = q_reference_candidates(spark, sf_dir)
     entity = candidates.entity_candidates(_entities(spark, sf_dir), 5, 20)
-    texts = _documents(spark, sf_dir).where("full_text IS NOT NULL").select("id", F.col("full_text").alias("text"))
-    points = cut(ingest.stub_embedding(texts))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    ids = table(spark, sf_dir, "legal_document").where("id IS NOT NULL").select("id").distinct()
+    place = F.pmod(F.expr("coalesce(try_cast(regexp_replace(id, '[^0-9]', '') AS bigint), 0)"), F.lit(vectors.count()))
+    points = cut(ids.withColumn("vec_id", place).join(vectors, "vec_id").select("id", "embedding"))
     side = lambda name: points.select(F.col("id").alias(name), "embedding")
     # One more than wanted: a document's nearest is itself.
     near = search.dense_topk(side("target_id"), side("source_id"), 21, "target_id", "source_id").where("source_id <> target_id").drop("rank")
@@ -381,7 +399,9 @@ def q_candidate_shortlist(spark, sf_dir):
     return candidates.shortlist(cut(merged), 5).select("source_id", "target_id", "explicit", r6(F.col("rank_score")).alias("rank_score"), "place")
 
 
-@query()
+@query(f"""WITH {SHORTLIST}, turned AS (SELECT *, row_number() OVER (PARTITION BY explicit ORDER BY rank_score DESC, source_id, target_id) AS turn FROM short),
+    once AS (SELECT * FROM turned QUALIFY row_number() OVER (PARTITION BY least(source_id, target_id), greatest(source_id, target_id) ORDER BY turn, explicit DESC, source_id) = 1)
+    SELECT source_id, target_id, explicit, turn FROM once ORDER BY turn, explicit DESC LIMIT 100""")
 def q_interleave(spark, sf_dir):
     pairs = q_candidate_shortlist(spark, sf_dir)
     return candidates.interleave(pairs, 100).select("source_id", "target_id", "explicit", "turn")
@@ -561,7 +581,14 @@ def q_article_citations(spark, sf_dir):
     return validate.article_relations(proposed, chunks, mapping, documents, owners)
 
 
-@query()
+@query(f"""WITH {MERGED}, d AS (SELECT id, any_value(effective_date) AS f, any_value(expiry_date) AS u, any_value(coalesce(status, '')) AS st FROM legal_document WHERE id IS NOT NULL GROUP BY id),
+    iso AS (SELECT id, st, coalesce(u, '') AS raw, CASE WHEN regexp_full_match(f, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND try_strptime(f, '%Y-%m-%d') IS NOT NULL THEN f ELSE '' END AS f,
+      CASE WHEN regexp_full_match(u, '\\d{{4}}-\\d{{2}}-\\d{{2}}') AND try_strptime(u, '%Y-%m-%d') IS NOT NULL THEN u ELSE '' END AS u FROM d),
+    both_ AS (SELECT source_id, target_id, greatest(a.f, b.f) AS vf, coalesce(least(nullif(a.u, ''), nullif(b.u, '')), '') AS vt, a.f <> '' AND b.f <> '' AND (a.raw = '' OR a.u <> '') AND (b.raw = '' OR b.u <> '')
+      AND (NOT regexp_matches(a.st, '(?i)hết hiệu lực|ngưng hiệu lực') OR a.u <> '') AND (NOT regexp_matches(b.st, '(?i)hết hiệu lực|ngưng hiệu lực') OR b.u <> '') AS known
+      FROM refs JOIN iso a ON a.id = source_id JOIN iso b ON b.id = target_id)
+    SELECT source_id, target_id, CASE WHEN known THEN vf ELSE '' END AS valid_from, CASE WHEN known THEN vt ELSE '' END AS valid_to, CASE WHEN known THEN 'known' ELSE 'unknown' END AS temporal_status,
+      known AND vt <> '' AND vf >= vt AS empty FROM both_""")
 def q_temporal_validity(spark, sf_dir):
     documents = _documents(spark, sf_dir).select("id", "effective_date", "expiry_date", "status")
     pairs = q_reference_candidates(spark, sf_dir).select("source_id", "target_id")
@@ -622,8 +649,9 @@ def q_budget_select(spark, sf_dir):
 @query()
 def q_retrieve(spark, sf_dir):
     chunks = table(spark, sf_dir, "document_chunk").where("text IS NOT NULL AND document_id IS NOT NULL").dropDuplicates(["id"])
-    points = chunks.select("id", "document_id", F.length("text").alias("chars"), "text").join(ingest.stub_embedding(chunks.select("id", "text")), "id")
-    points = cut(points)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    place = F.pmod(F.xxhash64("text"), F.lit(vectors.count()))
+    points = cut(chunks.select("id", "document_id", F.length("text").alias("chars"), "text").withColumn("vec_id", place).join(vectors, "vec_id").drop("vec_id"))
     asked = points.where("try_cast(document_id AS bigint) % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
     seed_hits = cut(search.dense_topk(points, asked, 20)).join(points.select("id", "document_id", "chars"), "id")
     seeds = retrieve.distinct_seeds(seed_hits, 5).select("query_id", "seed")
@@ -657,3 +685,58 @@ def q_ingest_pending(spark, sf_dir):
     state = sinks.latest(table(spark, sf_dir, "ingest_state"), ["document_id"], [F.desc("changed_at"), F.desc("index_status")])
     hashes = documents.select(F.col("id").alias("document_id"), "index_hash")
     return ingest.pending(documents, state.join(hashes, "document_id"), table(spark, sf_dir, "document_chunk").select("id", "document_id").distinct()).select("id", "index_hash")
+
+
+def _article_corpus(spark, sf_dir) -> tuple[articles.Corpus, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The articles of all documents with vectors, and relations: an article that names a document's number leads to that document's first article."""
+    documents = cut(_documents(spark, sf_dir).select("id", "title", "number", "full_text", "effective_date", "expiry_date", "status"))
+    chunks, provisions = cut(chunking.chunk_documents(documents)), cut(chunking.parse_structure(documents))
+    mapping, owners = cut(chunking.map_chunks(provisions, chunks)), cut(graph.unique_owners(_identifiers(spark, sf_dir)))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    place = F.pmod(F.expr("coalesce(try_cast(regexp_replace(document_id, '[^0-9]', '') AS bigint), 0)") + F.col("chunk_index"), F.lit(vectors.count()))
+    points = cut(chunks.withColumn("vec_id", place).join(vectors, "vec_id").select("id", "document_id", "text", "embedding"))
+    owned = mapping.join(chunks.select(F.col("id").alias("chunk_id"), "document_id", "chunk_index", F.substring("body", 1, 40).alias("quote")), "chunk_id")
+    first = owned.groupBy(F.col("document_id").alias("target")).agg(F.min_by(F.struct("article_id", "chunk_id", "quote"), F.struct("chunk_index", "chunk_id")).alias("t"))
+    spans = chunking.reference_spans(chunks, "id", "body").join(owners.withColumnRenamed("document_id", "target"), "number_norm").join(first, "target")
+    spans = spans.join(owned.select(F.col("chunk_id").alias("source_id"), F.col("article_id").alias("source"), "document_id"), "source_id").where("document_id <> target")
+    # "text" is the number as it is written: the quote of the relation.
+    edges = spans.groupBy(F.col("source").alias("source_id"), F.col("t.article_id").alias("target_id"), F.upper("kind").alias("kind")).agg(
+        F.min(F.struct(F.col("source_id").alias("source_chunk_id"), F.col("t.chunk_id").alias("target_chunk_id"), F.col("text").alias("evidence"), F.col("t.quote").alias("target_evidence"))).alias("e")
+    )
+    edges = cut(edges.select("source_id", "target_id", "kind", "e.*", F.lit(1.0).alias("confidence")))
+    return articles.Corpus(points, mapping, edges), documents, chunks, provisions, owners
+
+
+def _article_questions(chunks: DataFrame, points: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Questions from the words of every chunk of an article in a document whose id is divisible by 100, and the article that each is about."""
+    asked = chunks.where("try_cast(regexp_replace(document_id, '[^0-9]', '') AS bigint) % 100 = 0").select(F.col("id").alias("query_id"), F.array_join(F.slice(F.split("body", r"\s+"), 4, 14), " ").alias("text"))
+    asked = asked.join(mapping.select(F.col("chunk_id").alias("query_id"), "article_id"), "query_id")
+    asked = cut(asked.join(points.select(F.col("id").alias("query_id"), "embedding"), "query_id"))
+    return asked.drop("article_id"), asked.select(F.col("query_id").alias("qid"), F.col("article_id").alias("item"))
+
+
+@query()
+def q_article_retrieval(spark, sf_dir):
+    corpus, _, chunks, _, _ = _article_corpus(spark, sf_dir)
+    asked, _ = _article_questions(chunks, corpus.points, corpus.mapping)
+    got = articles.retrieve_articles(corpus, asked, Expansion(mode="M2", context_chars=18_000), 10)
+    return got.selected.select("query_id", "article_id", "chunk_id", "rank", r6(F.col("graph_score")).alias("graph_score"), r6(F.col("score")).alias("score"), "place")
+
+
+@query()
+def q_configurations(spark, sf_dir):
+    corpus, _, chunks, _, _ = _article_corpus(spark, sf_dir)
+    asked, gold = _article_questions(chunks, corpus.points, corpus.mapping)
+    rows = articles.configurations(corpus, asked, gold, corpus.mapping.select(F.col("article_id").alias("item")))
+    means = (F.avg(c).alias(c) for c in (*evaluate.METRICS, "candidate_recall"))
+    return rows.groupBy("mode").agg(F.count(F.lit(1)).alias("questions"), *means, F.sum("recovered").alias("recovered"), F.sum("lost").alias("lost"), F.sum("reached_2").alias("reached_2"))
+
+
+@query()
+def q_article_relations(spark, sf_dir):
+    """Candidates of every article of a document whose id is divisible by 100, against all articles; relations as a fixed responder proposes them."""
+    corpus, documents, chunks, provisions, owners = _article_corpus(spark, sf_dir)
+    sources = corpus.mapping.where(F.expr("try_cast(regexp_extract(article_id, '([0-9]+):article:', 1) AS bigint) % 100 = 0")).select("article_id").distinct()
+    pairs = candidates.interleave(cut(articles.relation_candidates(chunks, corpus.mapping, corpus.points, owners, sources)), 200)
+    built = articles.build_article_relations(documents, chunks, corpus.mapping, owners, provisions, pairs, pipelines.quoting_responder, lambda asked: ['{"supported": true}'] * len(asked))
+    return built.relations.select("source_id", "target_id", "kind", "method", "source_chunk_id", "target_chunk_id")

@@ -42,3 +42,13 @@ def test_schema_and_health(spark):
         pipelines.response_schema([])
     state = pipelines.health(spark, model=lambda: 1 / 0)
     assert state["engine"] == "ok" and state["model"].startswith("ZeroDivisionError")
+
+
+def test_embedding_is_batched_and_checked(spark):
+    chunks = spark.createDataFrame([("a", "xy"), ("b", None)], "id string, text string")
+    got = pipelines.embed_chunks(chunks, lambda texts: [[float(len(t)), 1.0] for t in texts], 2)
+    assert {r.id: r.embedding for r in got.collect()} == {"a": [2.0, 1.0], "b": [0.0, 1.0]}
+    assert pipelines.embed_chunks(chunks.limit(0), lambda texts: [], 2).count() == 0
+    for wrong in (lambda texts: [], lambda texts: [[1.0]] * len(texts), lambda texts: [[1.0, float("nan")]] * len(texts)):
+        with pytest.raises(Exception, match="the model gave"):
+            pipelines.embed_chunks(chunks, wrong, 2).collect()
