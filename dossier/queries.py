@@ -138,10 +138,10 @@ def q_membership(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "subject_label").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "lang")
 
 
-@query("SELECT DISTINCT id AS document_id FROM legal_document d WHERE NOT EXISTS (SELECT 1 FROM ingest_state s WHERE s.document_id = d.id AND s.index_status = 'ready')")
+@query("SELECT DISTINCT id AS document_id FROM legal_document d WHERE NOT EXISTS (SELECT 1 FROM ingest_state s WHERE s.document_id = d.id AND s.index_status = 'removed')")
 def q_missing_state(spark, sf_dir):
-    ready = table(spark, sf_dir, "ingest_state").where("index_status = 'ready'").select("document_id").distinct()
-    return sinks.delete(table(spark, sf_dir, "legal_document").select(F.col("id").alias("document_id")).distinct(), ready)
+    removed = table(spark, sf_dir, "ingest_state").where("index_status = 'removed'").select("document_id").distinct()
+    return sinks.delete(table(spark, sf_dir, "legal_document").select(F.col("id").alias("document_id")).distinct(), removed)
 
 
 @query("SELECT id, count(*) AS n FROM legal_document GROUP BY id HAVING count(*) > 1")
@@ -228,10 +228,17 @@ def q_tfidf_pairs(spark, sf_dir):
     return tfidf.best_targets(scored, 3)
 
 
-@query()
+@query("""WITH t AS (SELECT number_norm AS id, lower(title) AS v FROM instrument WHERE title IS NOT NULL),
+    c AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(list_concat(list_transform(range(1, length(v) - 1), lambda k: substr(v, k, 3)), list_transform(range(1, length(v) - 2), lambda k: substr(v, k, 4)),
+      list_transform(range(1, length(v) - 3), lambda k: substr(v, k, 5)))) AS term FROM t) GROUP BY id, term),
+    i AS (SELECT term, ln((1 + (SELECT count(*) FROM t)) / (1.0 + count(*))) + 1 AS idf FROM c GROUP BY term HAVING count(*) >= 2 AND count(*) <= 0.8 * (SELECT count(*) FROM t)),
+    r AS (SELECT id, term, (1 + ln(tf)) * idf AS raw FROM c JOIN i USING (term)), n AS (SELECT id, sqrt(sum(raw * raw)) AS norm FROM r GROUP BY id), w AS (SELECT id, term, raw / norm AS w FROM r JOIN n USING (id)),
+    p AS (SELECT a.id AS source_id, b.id AS target_id, round(sum(a.w * b.w), 6) AS score FROM w a JOIN w b ON a.term = b.term AND a.id <> b.id GROUP BY a.id, b.id)
+    SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, target_id) AS rank FROM p QUALIFY rank <= 3""")
 def q_tfidf_char_suggestions(spark, sf_dir):
     texts = table(spark, sf_dir, "instrument").select(F.col("number_norm").alias("id"), "title")
-    return tfidf.best_targets(tfidf.similar_pairs(cut(tfidf.fit(texts, tfidf.char_grams("title"), features=30_000))), 3)
+    scored = tfidf.similar_pairs(cut(tfidf.fit(texts.where("title IS NOT NULL"), tfidf.char_grams("title"), features=30_000)))
+    return tfidf.best_targets(scored.withColumn("score", r6(F.col("score"))), 3)
 
 
 ENTITY = f"""ent AS (SELECT DISTINCT id AS document_id, etype, lower(name) AS entity_key FROM (SELECT id, 'agency' AS etype, {_optional('agency')} AS name FROM legal_document
@@ -279,13 +286,26 @@ def q_cited_by(spark, sf_dir):
     return found.select("seed", "related")
 
 
-@query()
+@query(f"""WITH {ENTITY}, {OWNERS}, {SEEDS},
+    sh AS (SELECT seed, b.document_id AS related, count(*) AS strength FROM seeds JOIN ent a ON a.document_id = seed JOIN ent b USING (etype, entity_key) WHERE b.document_id <> seed GROUP BY seed, b.document_id
+      QUALIFY row_number() OVER (PARTITION BY seed ORDER BY count(*) DESC, b.document_id) <= 36),
+    ci AS (SELECT seed, own.document_id AS related FROM seeds JOIN mention m ON m.document_id = seed JOIN own ON own.number_norm = m.number_norm WHERE own.document_id <> seed GROUP BY ALL),
+    cb AS (SELECT seed, m.document_id AS related FROM seeds JOIN own ON own.document_id = seed JOIN mention m ON m.number_norm = own.number_norm WHERE m.document_id <> seed GROUP BY ALL),
+    rel AS (SELECT DISTINCT m.document_id AS source_id, own.document_id AS target_id, upper(kinds[1]) AS kind FROM mention m JOIN own ON own.number_norm = m.number_norm WHERE kinds[1] <> 'cites' AND m.document_id <> own.document_id),
+    found AS (SELECT seed, related, 'shared_metadata' AS kind, 0.2 * strength AS score, 0 AS proof FROM sh
+      UNION ALL SELECT seed, related, 'cites', 1.0, 0 FROM (SELECT * FROM ci QUALIFY row_number() OVER (PARTITION BY seed ORDER BY related) <= 36)
+      UNION ALL SELECT seed, related, 'cited_by', 0.9, 0 FROM (SELECT * FROM cb QUALIFY row_number() OVER (PARTITION BY seed ORDER BY related) <= 36)
+      UNION ALL SELECT seed, target_id, kind, 1.0, 1 FROM seeds JOIN rel ON source_id = seed UNION ALL SELECT seed, source_id, kind, 1.0, 1 FROM seeds JOIN rel ON target_id = seed),
+    merged AS (SELECT seed, related, least(1.0, sum(score))::DOUBLE AS graph_score, list_sort(list(DISTINCT kind)) AS relations, max(proof) AS proof FROM found GROUP BY seed, related)
+    SELECT seed AS query_id, related AS document_id, round(graph_score, 6) AS graph_score, relations FROM merged
+    QUALIFY row_number() OVER (PARTITION BY seed ORDER BY proof DESC, round(graph_score, 9) DESC, related) <= 12""")
 def q_expand_documents(spark, sf_dir):
     owners = graph.unique_owners(_identifiers(spark, sf_dir))
     mentions = table(spark, sf_dir, "mention").select("document_id", "number_norm", F.element_at("kinds", 1).alias("kind"))
     relations = mentions.where("kind <> 'cites'").join(owners.withColumnRenamed("document_id", "target_id"), "number_norm")
     relations = relations.select(F.col("document_id").alias("source_id"), "target_id", F.upper("kind").alias("kind"), F.col("number_norm").alias("evidence")).where("source_id <> target_id").distinct()
-    return graph.expand_documents(_seeds(spark, sf_dir), _entities(spark, sf_dir), mentions, owners, relations, 12)
+    found = graph.expand_documents(_seeds(spark, sf_dir), _entities(spark, sf_dir), mentions, owners, relations, 12)
+    return found.select("query_id", "document_id", r6(F.col("graph_score")).alias("graph_score"), "relations")
 
 
 EDGES = """edges AS (SELECT 's' || l_suppkey AS source_id, 'p' || l_partkey AS target_id, l_returnflag AS kind, max(1 - l_discount) AS confidence, min(strftime(l_shipdate, '%Y-%m-%d')) AS valid_from FROM lineitem GROUP BY ALL)"""
@@ -313,7 +333,16 @@ def q_reachable(spark, sf_dir):
     return graph.reachable(spark.createDataFrame([("s1", "s1")], "query_id string, node string"), edges, 2)
 
 
-@query()
+@query(f"""WITH {EDGES}, kinds(flag, kind, weight) AS (VALUES ('R', 'AMENDS', 0.9::DOUBLE), ('A', 'CITES', 0.35::DOUBLE), ('N', 'SPECIFIES', 0.9::DOUBLE)),
+    usable AS (SELECT source_id, target_id, k.kind, weight * confidence::DOUBLE AS gain FROM edges e JOIN kinds k ON k.flag = e.kind WHERE confidence >= 0.8),
+    both_ AS (SELECT source_id AS a, target_id AS b, kind, gain FROM usable UNION ALL SELECT target_id, source_id, kind, gain FROM usable),
+    steps AS (SELECT a, b, gain FROM both_ QUALIFY row_number() OVER (PARTITION BY a ORDER BY gain DESC, b, kind) <= 12),
+    d0(query_id, node) AS (VALUES ('s1', 's1'), ('s2', 's2'), ('s3', 's3')),
+    d1 AS (SELECT query_id, b AS node, max(gain) AS score FROM d0 JOIN steps ON a = node WHERE gain > 0 AND b <> query_id GROUP BY query_id, b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY max(gain) DESC, b) <= 60),
+    used AS (SELECT query_id, count(*) AS n FROM d1 GROUP BY query_id),
+    e2 AS (SELECT d1.query_id, b AS node, max(score * gain * 0.65) AS score FROM d1 JOIN steps ON a = node WHERE b <> query_id AND NOT EXISTS (SELECT 1 FROM d1 x WHERE x.query_id = d1.query_id AND x.node = b) GROUP BY d1.query_id, b),
+    d2 AS (SELECT e2.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS place FROM e2)
+    SELECT query_id, node, round(score, 6) AS score, 1 AS depth, 1 AS hops FROM d1 UNION ALL SELECT query_id, node, round(score, 6), 2, 2 FROM d2 JOIN used USING (query_id) WHERE place + n <= 60""")
 def q_bfs(spark, sf_dir):
     edges = _edges(spark, sf_dir).withColumn("kind", F.when(F.col("kind") == "R", "AMENDS").when(F.col("kind") == "A", "CITES").otherwise("SPECIFIES"))
     seeds = spark.createDataFrame([("s1", "s1"), ("s2", "s2"), ("s3", "s3")], "query_id string, node string")
@@ -561,9 +590,12 @@ def q_structure(spark, sf_dir):
     return chunking.parse_structure(_documents(spark, sf_dir)).select("id", "document_id", "parent_id", "level", "label", "start_pos", "end_pos")
 
 
-@query()
+@query(f"""WITH d AS (SELECT id, coalesce(full_text, '') AS x, {_number("nfc_normalize(coalesce(number, ''))")} AS own FROM legal_document WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1),
+    parts AS (SELECT id, own, unnest(regexp_extract_all(x, '(?:^|[^\\p{{L}}\\p{{N}}_])(?i:(\\p{{Nd}}{{1,4}}{WS}*/{WS}*(?:\\p{{Nd}}{{4}}{WS}*/{WS}*)?[A-ZĐ][A-ZĐ0-9]*(?:{WS}*-{WS}*[A-ZĐ0-9]+)*))(?:[^\\p{{L}}\\p{{N}}_]|$)', 1)) AS written FROM d),
+    named AS (SELECT id, own, {_number('nfc_normalize(written)')} AS number_norm FROM parts)
+    SELECT id AS document_id, number_norm, count(*)::INT AS mention_count FROM named WHERE number_norm <> own GROUP BY id, number_norm""")
 def q_mentions(spark, sf_dir):
-    return chunking.mentions(_documents(spark, sf_dir))
+    return chunking.mentions(_documents(spark, sf_dir)).select("document_id", "number_norm", "mention_count")
 
 
 @query()
@@ -640,7 +672,13 @@ def q_index_recall(spark, sf_dir):
     return exact.join(found, ["query_id", "id"], "left").agg(F.count(F.lit(1)).alias("pairs"), (F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
-@query()
+@query("""WITH RECURSIVE ordered AS (SELECT source, doc_id::VARCHAR AS id, law_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id::VARCHAR) AS n
+      FROM documents WHERE n_chars > 0 AND n_chars <= 18000 AND source IS NOT NULL),
+    walk AS (SELECT source, 0::BIGINT AS n, 0::BIGINT AS used, 0 AS place, []::VARCHAR[] AS laws, NULL::VARCHAR AS id, 0::BIGINT AS chars, false AS taken FROM (SELECT DISTINCT source FROM ordered)
+      UNION ALL SELECT source, n, CASE WHEN good THEN used + n_chars ELSE used END, CASE WHEN good THEN place + 1 ELSE place END, CASE WHEN good THEN list_append(laws, law_id) ELSE laws END, id, n_chars, good FROM
+        (SELECT o.source, o.n, w.used, w.place, w.laws, o.id, o.n_chars, o.law_id,
+          w.place < 10 AND w.used + o.n_chars <= 18000 AND (o.law_id IS NULL OR len(list_filter(w.laws, lambda x: x = o.law_id)) < 2) AS good FROM walk w JOIN ordered o ON o.source = w.source AND o.n = w.n + 1))
+    SELECT source AS query_id, id, chars, place FROM walk WHERE taken""")
 def q_budget_select(spark, sf_dir):
     hits = table(spark, sf_dir, "documents").where("n_chars > 0 AND source IS NOT NULL").select(F.col("source").alias("query_id"), F.col("doc_id").cast("string").alias("id"), F.col("law_id").alias("document_id"), F.col("n_chars").alias("chars"))
     return retrieve.budget_select(hits, [F.desc("chars")], 10, 18_000, 2).select("query_id", "id", "chars", "place")
@@ -679,7 +717,13 @@ def q_article_scores(spark, sf_dir):
     return retrieve.retrieve_articles(scored.drop("text"), Expansion(), 5, 6_000).select("query_id", "article_id", r6(F.col("score")).alias("score"), "place")
 
 
-@query()
+@query("""WITH d AS (SELECT * FROM legal_document WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at) = 1),
+    latest AS (SELECT * FROM ingest_state QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY changed_at DESC, index_status DESC) = 1),
+    held AS (SELECT document_id, count(*) AS held FROM (SELECT DISTINCT id, document_id FROM document_chunk) GROUP BY document_id),
+    done AS (SELECT document_id FROM latest LEFT JOIN held USING (document_id) WHERE index_status = 'ready' AND coalesce(held, 0) = chunk_count)
+    SELECT id, sha256('1|' || sha256(concat_ws(chr(31), coalesce(id, ''), coalesce(title, ''), coalesce(full_text, ''), coalesce(number, ''), coalesce(document_type, ''), coalesce(sector, ''), coalesce(issued_date, ''),
+      coalesce(field, ''), coalesce(effective_date, ''), coalesce(status, ''), coalesce(expiry_date, ''), coalesce(agency, ''), coalesce(signer_position, ''), coalesce(signer, ''))) || '|stub|1800|250') AS index_hash
+    FROM d WHERE id NOT IN (SELECT document_id FROM done WHERE document_id IS NOT NULL)""")
 def q_ingest_pending(spark, sf_dir):
     documents = ingest.with_hash(_documents(spark, sf_dir), ingest.Settings())
     state = sinks.latest(table(spark, sf_dir, "ingest_state"), ["document_id"], [F.desc("changed_at"), F.desc("index_status")])
