@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -69,9 +70,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.seen: dict[str | tuple[str], int] = {}
-        self.flat: list[int] = []
-        self.ends: list[int] = [0]
-        self.arrays = None
+        self.flat, self.ends = array("i"), array("q", [0])
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte."""
@@ -154,7 +153,6 @@ class Encoder:
         for piece in self.split.findall(run):
             self.flat.extend(self.encode_piece(piece))
         self.ends.append(len(self.flat))
-        self.arrays = None
 
     def _numbers(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all runs of all texts, and how many runs each text has."""
@@ -170,13 +168,15 @@ class Encoder:
             self._learn(key)
         counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         numbers = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=int(counts.sum()))
-        if self.arrays is None:
-            self.arrays = np.asarray(self.flat, dtype=np.int32), np.asarray(self.ends, dtype=np.int64)
         return numbers, counts
 
+    def _remembered(self) -> tuple[np.ndarray, np.ndarray]:
+        """The remembered ids and the ends of each run's, without a copy; to be let go before the next run is learnt."""
+        return np.frombuffer(self.flat, dtype=np.int32), np.frombuffer(self.ends, dtype=np.int64)
+
     def lengths(self, texts: list[str | None]) -> np.ndarray:
         numbers, counts = self._numbers(texts)
-        ends = self.arrays[1]
+        ends = self._remembered()[1]
         sums = np.concatenate([[0], np.cumsum((ends[1:] - ends[:-1])[numbers])])
         stops = np.cumsum(counts)
         return sums[stops] - sums[stops - counts]
@@ -184,7 +184,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and the offsets of each text in them."""
         numbers, counts = self._numbers(texts)
-        flat, ends = self.arrays
+        flat, ends = self._remembered()
         sizes = (ends[1:] - ends[:-1])[numbers]
         stops = np.cumsum(sizes)
         places = np.arange(stops[-1] if len(stops) else 0) + np.repeat(ends[numbers] - (stops - sizes), sizes)
