@@ -178,10 +178,11 @@ def reachable(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 def shuffled_edges(edges: DataFrame, seed: int) -> DataFrame:
     """Control graph: the same sources and targets (so the same degrees), newly paired at random; self-loops and repeated edges stay.
 
-    The targets are ordered by a seeded hash of their whole edge, so those of one source, and equal ones, are spread.
+    The targets are ordered by a seeded hash of their whole edge and its place, so those of one source, and equal edges, are spread.
     """
+    placed = cut(edges.select("target_id", "source_id", "kind").withColumn("__at", F.monotonically_increasing_id()))
     left = _numbered(edges.drop("target_id"), F.xxhash64("source_id", "kind", F.lit(seed)), "source_id", "kind")
-    right = _numbered(edges.select("target_id", "source_id", "kind"), F.xxhash64("source_id", "kind", "target_id", F.lit(seed + 1)), "target_id")
+    right = _numbered(placed, F.xxhash64("source_id", "kind", "target_id", "__at", F.lit(seed + 1)), "target_id", "__at")
     return left.join(right.select("target_id", "__n"), "__n").drop("__n")
 
 

@@ -89,7 +89,11 @@ class Store:
         rows.withColumn("__bucket", bucket).repartition("__bucket").write.partitionBy("__bucket").parquet(path)
         fs, where = self._file(path)
         fresh = {f.getPath().getName().split("=")[1] for f in fs.listStatus(where) if "=" in f.getPath().getName()}
-        self._publish(name, {b: p for b, p in old.items() if b not in touched and b != "all"} | {b: f"{version}/__bucket={b}" for b in fresh} or {"all": version})
+        manifest = {b: p for b, p in old.items() if b not in touched and b != "all"} | {b: f"{version}/__bucket={b}" for b in fresh}
+        if manifest:
+            self._publish(name, manifest)
+        else:
+            self.write(name, rows.limit(0))  # an empty table keeps its columns
 
     def reset(self, *names: str) -> None:
         for name in names:
