@@ -161,7 +161,7 @@ def test_entities_look_behind_frequent_runs_too(spark):
     left = spark.createDataFrame([(i, None, None, None, None, datetime(2024, 1, 1)) for i in ids], "id string, title string, number string, agency string, issued_date string, loaded_at timestamp")
     got = entities.candidate_vectors(records, left, spark.createDataFrame(held, "document_id string, text string")).first()
     # The record's rarest runs lead to x alone; more than half of its runs are in each of the others, which are alike.
-    assert sorted((c.d, c.n) for c in got.candidates) == [("d0", 25), ("x", 1)]
+    assert sorted((c.d, c.n) for c in got.candidates) == [("d0", 25), ("x", 1)] and math.isclose(sum(c.n for c in got.candidates), len(ids))
 
 
 def brute_shares(records, held, documents):
@@ -209,6 +209,16 @@ def test_equal_number_needs_another_agreement(spark):
     assert {(r.r, c.d) for r in got.collect() for c in r.candidates} == {(1, "a"), (3, "a")}
 
 
+def test_unshared_passages_may_say_nothing(spark):
+    at = datetime(2024, 1, 1)
+    title, passage = "Quyết định về bến thuyền và chợ nổi ở vùng sông", " ".join(f"lời{k}" for k in range(60))
+    left = spark.createDataFrame([(1, title, None, None, None, passage, at)], "context_id bigint, name string, law_id string, issuing_place string, issued_on string, passage string, collected_at timestamp")
+    right = spark.createDataFrame([("a", title, None, None, None, at), ("b", title, None, None, None, at)], "id string, title string, number string, agency string, issued_date string, loaded_at timestamp")
+    other = " ".join(f"khác{k}" for k in range(60))
+    got = entities.candidate_vectors(left, right, spark.createDataFrame([("a", other), ("b", other), ("b", None)], "document_id string, text string")).first()
+    assert {c.d: c.passage for c in got.candidates} == {"a": 0.0, "b": None}
+
+
 def test_confidence_is_that_of_the_one_candidate():
     mixture = entities.Mixture(0.3, np.array([[0.2] * 5, [0.9] * 5]), np.full((2, 5), 0.02))
     vectors, one, first = np.array([[0.9] * 5, [0.9] * 5]), np.ones(2), np.array([0])
