@@ -32,6 +32,7 @@ def test_retrieve_follows_relations_to_their_evidence(spark, tmp_path):
     documents = [("100", "5/2020/QĐ-A", None, None), ("7", "6/2020/QĐ-A", None, None)]
     folder = write(
         spark, tmp_path, document_chunk=(chunks, "id string, document_id string, text string"), legal_document=(documents, "id string, number string, agency string, signer string"),
+        embeddings=([(0, [1.0, 0.5])], "vec_id bigint, embedding array<float>"),
         mention=([("7", "5/2020/QĐ-A", "5/2020/QĐ-A", ["cites", "repeals"], datetime(2025, 1, 1))], "document_id string, number string, number_norm string, kinds array<string>, extracted_at timestamp"),
     )
     got = queries.q_retrieve(spark, folder)
@@ -55,10 +56,12 @@ def test_bootstrap_takes_all_orders(spark, tmp_path):
 
 def test_shortlist_has_candidates_that_only_vectors_find(spark, tmp_path):
     at = datetime(2025, 1, 1)
-    documents = [(i, i, text, None, None, at) for i, text in (("a", "một văn bản"), ("b", "một văn bản"), ("c", "hai"))]
+    documents = [(i, i, "văn bản", None, None, at) for i in ("3", "4", "5", "x")]
     folder = write(
         spark, tmp_path, legal_document=(documents, "id string, number string, full_text string, agency string, signer string, loaded_at timestamp"),
         mention=([], "document_id string, number_norm string"),
+        # The vector of a document is that of its number's rest: "3" and "x" have the first one.
+        embeddings=([(0, [1.0, 0.0]), (1, [1.0, 0.2]), (2, [-1.0, 0.0])], "vec_id bigint, embedding array<float>"),
     )
     got = queries.q_candidate_shortlist(spark, folder)
-    assert {("a", "b"), ("b", "a")} <= set(rows(got.where("place = 1"), "source_id", "target_id"))
+    assert rows(got.where("place = 1"), "source_id", "target_id") == [("3", "x"), ("4", "3"), ("5", "4"), ("x", "3")]
