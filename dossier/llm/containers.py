@@ -10,8 +10,9 @@ no unit fits any gap, as many containers as the rest needs at least are opened,
 of the largest units.  A rest of at most REST rows is swept by one task until nothing is left,
 by the same rule, so its result is the same.
 
-The driver sees two numbers for each range and step.  Sorting by size and key spreads a size
-that a third of the items share over several ranges.
+The driver sees two numbers for each range and step, and a step has as many ranges as its rows
+need, so that later steps cost it less.  Gaps below the least unit are dropped.  Sorting by size
+and key spreads a size that a third of the items share over several ranges.
 
 Defined results: null and empty texts are left out; an item above the capacity becomes
 full parts and a rest; equal sizes are ranked by key; no input gives no rows.
@@ -167,18 +168,29 @@ def settle(units: dict[int, int], gaps: dict[int, int]) -> list[tuple[int, int,
     return out
 
 
-def _paired(alone: DataFrame, pairs: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """``alone`` with the number of the ``pair`` that each row belongs to; null where it stays without one."""
-    base = np.cumsum([0, *(p[4] for p in pairs)]).tolist()
-    spans = [(UNIT, p[0], p[1], p[4], n) for p, n in zip(pairs, base)] + [(GAP, p[2], p[3], p[4], n) for p, n in zip(pairs, base)]
-    names = ("__kind", "__range", "__first", "__number", "__base")
-    if not spans:
-        return alone.withColumn("pair", F.lit(None).cast("bigint"))
-    small = alone.sparkSession.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, zip(*spans))}))
-    ahead = F.col("rank") - F.col("__first")
-    inside = (F.col("kind") == F.col("__kind")) & (F.col("range") == F.col("__range")) & (ahead >= 0) & (ahead < F.col("__number"))
-    # At most four rows for each range.
-    return alone.join(F.broadcast(small), inside, "left").withColumn("pair", F.col("__base") + ahead).drop(*names)
+def _paired(pairs: list[tuple[int, int, int | None, int, int]]):
+    """Rows left over with the number of the ``pair`` that each belongs to, null for none; pairs without a range of gaps open containers."""
+    spans: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+    base = 0
+    for below, rank, place, taken, number in pairs:
+        spans.setdefault((UNIT, below), []).append((rank, number, base))
+        if place is not None:
+            spans.setdefault((GAP, place), []).append((taken, number, base))
+        base += number
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, ranges, ranks = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("kind", "range", "rank"))
+            pair = np.full(batch.num_rows, -1, np.int64)
+            for kind, place in spans.keys() & set(zip(kinds.tolist(), ranges.tolist())):
+                first, number, start = np.array(spans[kind, place]).T
+                at = np.flatnonzero((kinds == kind) & (ranges == place))
+                span = np.searchsorted(first, ranks[at], side="right") - 1  # the first span of a range starts at rank 0
+                ahead = ranks[at] - first[span]
+                pair[at] = np.where(ahead < number[span], start[span] + ahead, -1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("size", "kind", "key")), pa.array(pair, mask=pair < 0)], names=["size", "kind", "key", "pair"])
+
+    return run
 
 
 def finish(sizes: list[tuple[int, int]], gaps: list[tuple[int, int]], capacity: int, opened: int) -> list[tuple[int, int]]:
@@ -215,13 +227,17 @@ def place_units(units: DataFrame, capacity: int) -> DataFrame:
     """(unit, container) of units (unit, size)."""
     spark = units.sparkSession
     state = cut(units.select(F.col("size").cast("int").alias("size"), F.lit(UNIT).alias("kind"), F.col("unit").alias("key")))
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     done, opened = [], 0
     while True:
-        rows = state.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("kind") == UNIT).alias("units"), F.coalesce(F.sum(F.when(F.col("kind") == UNIT, F.col("size"))), F.lit(0)).alias("tokens")).first()
+        unit_size = F.when(F.col("kind") == UNIT, F.col("size"))
+        rows = state.agg(F.count(F.lit(1)).alias("n"), F.count(unit_size).alias("units"), F.coalesce(F.sum(unit_size), F.lit(0)).alias("tokens"), F.min(unit_size).alias("least")).first()
         if not rows["units"]:
             break
-        if rows["n"] <= REST:
+        # Units only get fewer, so a gap below the least one stays as it is.
+        state = state.where((F.col("kind") == UNIT) | (F.col("size") >= rows["least"]))
+        number = state.count() if rows["units"] <= REST < rows["n"] else rows["n"]
+        if number <= REST:
             first = opened
 
             def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,33 +247,34 @@ def place_units(units: DataFrame, capacity: int) -> DataFrame:
 
             done.append(state.coalesce(1).mapInArrow(rest, "unit bigint, container bigint"))
             break
+        ranges = min(most, max(2, -(-4 * number // REST)))
         ordered = state.repartitionByRange(ranges, "size", "kind", "key").sortWithinPartitions("size", "kind", "key")
         swept = cut(ordered.mapInArrow(_sweep, SWEPT))
         left: dict[int, dict[int, int]] = {UNIT: {}, GAP: {}}
         for r in swept.where("range IS NOT NULL").groupBy("kind", "range").count().collect():  # two numbers for each range
             left[r["kind"]][r["range"]] = r["count"]
         pairs = settle(left[UNIT], left[GAP])
-        alone = _paired(swept.where("range IS NOT NULL"), pairs)
-        matched = swept.where("range IS NULL").select("size", "key", "container", "left")
-        if pairs:
-            met = alone.where("pair IS NOT NULL")
-            gaps = met.where(F.col("kind") == GAP).select("pair", F.col("key").alias("container"), F.col("size").alias("gap"))
-            met = met.where(F.col("kind") == UNIT).select("pair", "size", "key").join(gaps, "pair")
-            matched = matched.unionByName(met.select("size", "key", "container", (F.col("gap") - F.col("size")).cast("int").alias("left")))
-        if sum(left[UNIT].values()) == rows["units"]:
-            # No gap took a unit within its range; none could from another range either, unless there are pairs.
-            matched = matched if pairs else None
-        if matched is None:
-            number = -(-rows["tokens"] // capacity)
-            # Units are ranked from the largest: those of higher ranges come first.
-            higher, total = {}, 0
-            for place in sorted(left[UNIT], reverse=True):
-                higher[place], total = total, total + left[UNIT][place]
-            before = F.create_map(*(F.lit(x) for pair in higher.items() for x in pair))
-            ranked = alone.withColumn("place", F.when(F.col("kind") == UNIT, before[F.col("range")] + F.col("rank")))
-            matched = ranked.where(F.col("place") < number).select("size", "key", (F.col("place") + opened).alias("container"), (F.lit(capacity) - F.col("size")).cast("int").alias("left"))
-            alone = ranked.where(F.col("place").isNull() | (F.col("place") >= number))
-            opened += number
+        # No gap took a unit within its range; none could from another range either, unless there are pairs.
+        opening = -(-rows["tokens"] // capacity) if not pairs and sum(left[UNIT].values()) == rows["units"] else 0
+        if opening:
+            to_open = opening
+            for place in sorted(left[UNIT], reverse=True):  # the largest units come first
+                if taken := min(to_open, left[UNIT][place]):
+                    pairs.append((place, 0, None, 0, taken))
+                    to_open -= taken
+        # Neither this nor what follows is a join: a join's estimated size is the product of its sides', which checkpoints
+        # keep, so that the digits of the estimate would double in each step.
+        alone = swept.where("range IS NOT NULL").mapInArrow(_paired(pairs), STATE + ", pair bigint")
+        met = alone.where("pair IS NOT NULL")
+        if opening:
+            matched = met.select("size", "key", (F.col("pair") + opened).alias("container"), (F.lit(capacity) - F.col("size")).cast("int").alias("left"))
+            opened += opening
+        else:
+            matched = swept.where("range IS NULL").select("size", "key", "container", "left")
+            if pairs:
+                of = lambda kind, column: F.max(F.when(F.col("kind") == kind, F.col(column)))
+                both = met.groupBy("pair").agg(of(UNIT, "size").alias("size"), of(UNIT, "key").alias("key"), of(GAP, "key").alias("container"), of(GAP, "size").alias("gap"))
+                matched = matched.unionByName(both.select("size", "key", "container", (F.col("gap") - F.col("size")).cast("int").alias("left")))
         matched = cut(matched.coalesce(ranges))
         done.append(matched.select(F.col("key").alias("unit"), "container"))
         kept = alone.where("pair IS NULL").select("size", "kind", "key")

@@ -407,6 +407,28 @@ def test_distributed_steps_equal_the_written_ones(spark, monkeypatch, sizes):
     assert {r.unit: r.container for r in got.collect()} == simple_steps(units, 60)
 
 
+def test_steps_leave_the_driver_small(spark, monkeypatch):
+    monkeypatch.setattr(containers, "REST", 3)
+    plain, states, bits = containers.cut, [], []
+
+    def cut(df):
+        bits.append(int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()).bit_length())
+        df = plain(df)
+        if df.columns == ["size", "kind", "key", "container", "left", "range", "rank"]:
+            states.append([(r.size, r.kind) if r.container is None else (r.size + r.left, containers.GAP) for r in df.select(F.col("size"), "kind", "container", "left").collect()])
+        return df
+
+    monkeypatch.setattr(containers, "cut", cut)
+    rng = random.Random(5)
+    units = [(rng.randint(4, 25), k) for k in range(300)]
+    got = containers.place_units(spark.createDataFrame(units, "size int, unit bigint"), 60)
+    assert {r.unit: r.container for r in got.collect()} == simple_steps(units, 60)
+    # The estimated size of the plan, a number that checkpoints hand on, mustn't double its digits in each step.
+    assert len(states) > 5 and max(bits) < 500
+    # No gap is kept that the least unit doesn't fit into: every unit is at least 4.
+    assert all(size >= 4 for rows in states for size, _ in rows)
+
+
 def test_packing_is_near_best_fit_decreasing():
     rng = random.Random(7)
     sizes = [min(4096, int(rng.lognormvariate(6.5, 1)) + 1) for _ in range(3_000)]
