@@ -45,21 +45,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.textform import consistent_form
-from dossier.llm.neardup import _mix, shingle_sets
+from dossier.llm.neardup import shingle_sets
 from dossier.llm.subjects import fold
 from dossier.plans.shared import cut, table
 
 WORD = re.compile(r"[^\W_]+")
-#: Words in a passage run, and the share of runs (1/SAMPLE, by hash) that both sides keep; words in a title run.
-RUN, SAMPLE, TITLE_RUN = 6, 2, 3
+#: Words in a passage run, and one in how many runs both sides keep (every one); words in a title run.
+RUN, SAMPLE, TITLE_RUN = 6, 1, 3
 #: Bits of the filter by which documents' runs that no record has are dropped where they are read (2 MB).
 FILTER_BITS = 1 << 24
 #: Share of a record's runs, and share of the weight of its held runs, from which a document is a candidate.
 LEAST_COUNT, LEAST_WEIGHT = 0.5, 0.4
 #: Share of the weight that counts as agreement of title or passage beside an equal number.
 SUPPORT = 0.1
-#: Sampled runs below which a passage that a document doesn't share says nothing, and the run that stands for a provision without text.
-FEW_RUNS, NO_TEXT = 3, -(1 << 63)
+#: Runs below which a passage that a document doesn't share says nothing (one other word may break RUN), and the run that stands for a provision without text.
+FEW_RUNS, NO_TEXT = RUN, -(1 << 63)
 #: Most records and runs of one block of the query set.
 BLOCK_RECORDS, BLOCK_RUNS = 20_000, 1_000_000
 FEATURES = ("title", "number", "passage", "place", "date")
@@ -173,8 +173,7 @@ SIDE = ("key", "title", "number", "place", "date")
 
 
 def _runs(wanted: bytes | None = None):
-    """(key, run): the sampled hashes of the word runs of each text, NO_TEXT for null; with a bitmap, only such as it may hold."""
-    bound = np.uint64(((1 << 64) - 1) // SAMPLE)
+    """(key, run): the hashes of all word runs of each text, NO_TEXT for null; with a bitmap, only such as it may hold."""
     bits = None if wanted is None else np.unpackbits(np.frombuffer(wanted, dtype=np.uint8), bitorder="little").view(bool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +182,7 @@ def _runs(wanted: bytes | None = None):
                 batch = whole.slice(start, 512)
                 sets = shingle_sets(batch.column(1).to_pylist(), RUN, RUN, folded=True)
                 texts = batch.column(1).is_valid().to_pylist()
-                kept = [np.empty(0, np.uint64) if s is None else s[_mix(s) < bound] for s in sets]
+                kept = [np.empty(0, np.uint64) if s is None else s for s in sets]
                 if bits is not None:
                     kept = [k[bits[(k & np.uint64(FILTER_BITS - 1)).astype(np.int64)]] for k in kept]
                 kept = [k if given else np.array([NO_TEXT], np.int64).view(np.uint64) for k, given in zip(kept, texts)]

@@ -199,6 +199,19 @@ def test_candidates_equal_brute_force(spark, monkeypatch, block):
     assert expected and total == Counter(r for r, _ in expected)
 
 
+def test_every_run_of_a_passage_counts(spark):
+    words = [f"từ{k}" for k in range(60)]
+    at = datetime(2024, 1, 1)
+    runs = next(iter(entities._runs()(iter([pa.record_batch({"key": [1], "text": [" ".join(words)]})]))))
+    assert runs.num_rows == len(words) - entities.RUN + 1
+    # One run, whichever it is, is enough where no other document holds another.
+    left = spark.createDataFrame([(1, None, None, None, None, " ".join(words), at)], "context_id bigint, name string, law_id string, issuing_place string, issued_on string, passage string, collected_at timestamp")
+    for k in (0, 19, 38, 54):
+        right = spark.createDataFrame([("d", None, None, None, None, at)], "id string, title string, number string, agency string, issued_date string, loaded_at timestamp")
+        got = entities.candidate_vectors(left, right, spark.createDataFrame([("d", " ".join(words[k : k + entities.RUN]))], "document_id string, text string")).first()
+        assert [(c.d, round(c.passage * 55)) for c in got.candidates] == [("d", 1)]
+
+
 def test_equal_number_needs_another_agreement(spark):
     at = datetime(2024, 1, 1)
     place = "Sở Tư pháp Mạc Kỳ"
