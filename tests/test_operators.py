@@ -102,6 +102,33 @@ def test_tfidf(spark):
     assert rows(same.limit(1).select(F.explode(tfidf.char_grams("text", 5, 5)).alias("g")), "g") == [("hồ sơ",)]
 
 
+def test_best_pairs_are_those_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "QUESTION_BLOCK", 7)
+    monkeypatch.setattr(tfidf, "SCORE_NUMBERS", 40)
+    made = [(f"t{k}", f"d{k // 2}", " ".join(f"w{(k * k * 7 + j * j * (k % 5 + 1)) % 23}" for j in range(6))) for k in range(40)] + [("n1", "n", None), (None, "d1", "w1 w2")]
+    texts = spark.createDataFrame(made, "id string, document_id string, text string").repartition(3)
+    weights = tfidf.fit(texts, tfidf.word_grams("text", 1, 1), features=None).cache()
+    group = texts.select("id", "document_id")
+    for number in (1, 3, 100):
+        alone = tfidf.best_targets(tfidf.similar_pairs(weights).withColumn("score", F.round("score", 6)), number)
+        got = tfidf.best_pairs(tfidf.vector_rows(weights), number, decimals=6)
+        assert rows(got, "source_id", "target_id", "score", "rank") == rows(alone, "source_id", "target_id", "score", "rank")
+    vectors = tfidf.vector_rows(weights).drop("document_id").join(group, "id")
+    asked = vectors.where("document_id IN ('d1', 'd2', 'd9')")
+    every = tfidf.similar_pairs(weights, group, asked.select("document_id").distinct()).groupBy("source_document", "target_document").agg(F.round(F.max("score"), 6).alias("score"))
+    got = tfidf.best_pairs(vectors, 4, asked, 6)
+    assert rows(got, "source_document", "target_document", "score", "rank") == rows(tfidf.best_targets(every, 4, "source_document", "target_document"), "source_document", "target_document", "score", "rank")
+    scores = {(r.source_id, r.target_id): round(r.score, 6) for r in tfidf.similar_pairs(weights).collect()}
+    assert all(scores[r.source_id, r.target_id] == r.score for r in got.collect())
+
+
+def test_pairs_of_texts_are_never_rows(spark):
+    from dossier import queries
+
+    plan = queries.q_tfidf_pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 EDGE = "source_id string, target_id string, kind string, confidence double"
 
 
