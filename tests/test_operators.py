@@ -248,6 +248,17 @@ def test_candidates(spark):
     assert rows(candidates.representatives(chunks.where("chunk_index < 2"), 3), "chunk_index") == [(0,)]
 
 
+def test_interleave_without_a_limit_keeps_every_pair(spark):
+    made = {(f"a{k * 7 % 31}", f"a{k * 11 % 37}"): (k % 3 == 0, float(k % 13)) for k in range(900)}
+    made = [(*pair, *x) for pair, x in made.items() if pair[0] != pair[1]]
+    merged = spark.createDataFrame(made, "source_id string, target_id string, explicit boolean, rank_score double").repartition(5)
+    every = candidates.interleave(merged, None)
+    assert {tuple(sorted(r[:2])) for r in every.collect()} == {tuple(sorted(r[:2])) for r in made} and every.count() > 200
+    names = ("source_id", "target_id", "explicit", "turn")
+    assert rows(every, *names) == rows(candidates.interleave(merged, len(made)), *names)
+    assert candidates.interleave(merged.where("false"), None).count() == 0
+
+
 PROPOSED = "candidate_source string, candidate_target string, source_id string, target_id string, kind string, source_chunk_id string, target_chunk_id string, evidence string"
 GOOD = ("d1", "d2", "d1", "d2", "REPEALS", "c1", "", "Bãi bỏ Quyết định số 46/2008/QĐ-UBND")
 
