@@ -122,6 +122,17 @@ def test_best_pairs_are_those_of_all_pairs(spark, monkeypatch):
     assert all(scores[r.source_id, r.target_id] == r.score for r in got.collect())
 
 
+def test_vectors_are_those_of_the_long_table(spark):
+    said = ["hồ sơ và hồ sơ", "Hồ sơ của bến", None, "bến", "hồ của sơ và bến", "", "mỏ"]
+    texts = spark.createDataFrame([(f"t{k}", f"d{k // 2}", t) for k, t in enumerate(said)], "id string, document_id string, text string").repartition(2)
+    for options in ({}, {"features": 3}, {"max_df": 0.3}, {"min_df": 9}):
+        long = tfidf.fit_or_relax(texts, tfidf.word_grams("text", 1, 2), **options)
+        got = tfidf.fit_vectors(texts, tfidf.word_tokens("text"), 1, 2, ["id", "document_id"], **options)
+        sums = lambda df: {(r.source_id, r.target_id): round(r.score, 9) for r in tfidf.similar_pairs(df).collect()}
+        assert sums(got.select("id", F.explode(F.arrays_zip("terms", "w")).alias("v")).select("id", "v.terms", "v.w").toDF("id", "term", "w")) == sums(long)
+        assert got.count() == long.select("id").distinct().count()
+
+
 def test_pairs_of_texts_are_never_rows(spark):
     from dossier import queries
 
